@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,8 +51,24 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",
     return raw.select(*out)
 
 
+def _cell(c: Column, kind: T.DataType, timestamp_format: str) -> Column:
+    if isinstance(kind, (T.TimestampNTZType, T.TimestampType)):
+        c = F.date_format(c, timestamp_format)
+    return F.concat(F.lit('"'), F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+
+
 def write_csv(df: DataFrame, path: str, sep: str = ",", line_sep: str = "\n", header: bool = False, timestamp_format: str = TIMESTAMP_FORMAT, mode: str = "error") -> None:
-    """Every cell quoted, inner quotes doubled. Floating point keeps Spark's shortest form that reads back to the same number."""
+    """Every cell quoted, inner quotes doubled. Floating point keeps Spark's shortest form that reads back to the same number.
+
+    Spark's CSV writer turns a line feed inside a cell into the record end, so CRLF records are composed here and written as text.
+    """
+    if line_sep == "\r\n":
+        _options(sep, line_sep)
+        lines = df.select(F.concat_ws(sep, *(_cell(df[f"`{f.name}`"], f.dataType, timestamp_format) for f in df.schema.fields)).alias("value"))
+        if header:
+            raise CsvError("no header with CRLF records")
+        lines.write.mode(mode).option("lineSep", line_sep).text(path)
+        return
     (
         df.write.mode(mode)
         .options(**_options(sep, line_sep), quoteAll="true", header=str(header).lower(), emptyValue="", nullValue="")
