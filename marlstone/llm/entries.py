@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from marlstone.llm import quality, simhash, url_filter
+from marlstone.llm import decontaminate, pii, quality, simhash, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op3_url_filter": url_filter.op3_url_filter,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op8_simhash": simhash.op8_simhash,
+    "op9_pii": pii.op9_pii,
 }
 
-ORACLE_SQL = {"op3_url_filter": url_filter.oracle()}
+ORACLE_SQL = {"op3_url_filter": url_filter.oracle(), "op6_decontaminate": decontaminate.ORACLE}
