@@ -1,8 +1,8 @@
 """Benchmark decontamination over a distributed positional inverted index, in DataFrame operations only.
 
 The index has a posting (term, document, position) for every token asked for. A window, ``WINDOW`` consecutive words of an item or a shorter item whole, is
-looked up from its rarest terms by the corpus's own term counts: the offset-adjusted positions of the ``SEEDS`` rarest are intersected (a group on
-document and start that has them all), which leaves few candidates, and the other terms are then intersected at their offsets in the
+looked up from its ``SEEDS`` rarest terms by the corpus's own term counts: a posting less the term's offset in the item is an alignment of item and document, and those
+that several seeds agree on (a group on document, item and shift) are the few candidates, whose other terms are then intersected at their offsets in the
 candidate's document. Only postings of the rarest terms leave a scan; those of common words never do. A window with a term that the corpus lacks ends at once.
 
 Documents are known by (doc_id, hash of the text), so that repeated and null ids keep rows apart; rows equal in both share one result. Null texts have no
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.common import forget, prepare, stored, text_of
 
-WINDOW, SEEDS = 10, 3
+WINDOW, SEEDS = 10, 2
 #: Terms or seeds up to this many rows (tens of MB) are broadcast; beyond it, the join shuffles.
 MAX_BROADCAST_ROWS = 500_000
 
@@ -52,24 +52,41 @@ def proximity_matches(index: DataFrame, terms: list[str], slop: int) -> DataFram
     return found
 
 
-def windows_of(items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(win, words, item): each distinct window's id and words, once for each item that has it."""
-    w = items.select(F.col("item_id").cast("string").alias("item"), words_of(text_of()).alias("all")).where(F.size("all") > 0)
-    starts = F.sequence(F.lit(1), F.greatest(F.size("all") - size + 1, F.lit(1)))
-    slices = w.select("item", F.explode(F.transform(starts, lambda i: F.slice("all", i, size))).alias("words"))
-    return slices.distinct().select(F.sha2(F.array_join("words", " "), 256).alias("win"), "words", "item")
+def items_of(items: DataFrame) -> DataFrame:
+    """(ikey, item_words, item): each distinct word sequence, once for each item that has it."""
+    w = items.select(F.col("item_id").cast("string").alias("item"), words_of(text_of()).alias("item_words")).where(F.size("item_words") > 0)
+    return w.distinct().select(F.sha2(F.array_join("item_words", " "), 256).alias("ikey"), "item_words", "item")
 
 
-def phrase_candidates(docs: DataFrame, windows: DataFrame, seeds: int = SEEDS) -> DataFrame:
-    """(doc_id, text_hash, win, start) where the rarest terms of a window stand at its offsets. ``windows``: distinct (win, words)."""
-    terms = windows.select("win", F.posexplode("words").alias("off", "term"))
+def alignments(docs: DataFrame, items: DataFrame, size: int = WINDOW, seeds: int = SEEDS) -> DataFrame:
+    """(doc_id, text_hash, ikey, shift): where an item laid over a document from position ``shift`` meets at least as many seeds as a window has.
+    ``items``: distinct (ikey, item_words). A window's seeds are its rarest terms; windows that share a seed share its postings."""
+    terms = items.select("ikey", F.posexplode("item_words").alias("off", "term"))
     counts = stored(postings(docs, terms.select("term").distinct()).groupBy("term").agg(F.count(F.lit(1)).alias("n")), "decon-counts")
-    rated = terms.join(counts, "term", "left").select("win", F.struct("n", "term", "off").alias("t"))
-    grouped = rated.groupBy("win").agg(F.sort_array(F.collect_list("t")).alias("ts"))  # at most WINDOW terms
-    lookup = grouped.where(F.col("ts")[0]["n"].isNotNull()).select("win", F.explode(F.slice("ts", 1, seeds)).alias("t"), F.least(F.size("ts"), F.lit(seeds)).alias("need"))
-    lookup = stored(lookup.select(F.col("t.term").alias("term"), "win", F.col("t.off").alias("off"), "need"), "decon-seeds")
-    hits = postings(docs, lookup).select("doc_id", "text_hash", "win", "need", (F.col("pos") - F.col("off")).alias("start")).where("start >= 0")
-    return hits.groupBy("doc_id", "text_hash", "win", "start", "need").agg(F.count(F.lit(1)).alias("n")).where("n = need").drop("n", "need")
+    rated = terms.join(counts, "term", "left").groupBy("ikey").agg(F.sort_array(F.collect_list(F.struct("off", "n", "term"))).alias("ts"))  # as long as the item
+
+    def rarest(at: Column) -> Column:
+        window = F.slice("ts", at, size)
+        order = F.sort_array(F.transform(window, lambda t: F.struct(t["n"].alias("n"), t["off"].alias("off"), t["term"].alias("term"))))
+        return F.when(F.forall(window, lambda t: t["n"].isNotNull()), F.slice(order, 1, seeds)).otherwise(F.slice(order, 1, 0))
+
+    chosen = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.size("ts") - size + 1, F.lit(1))), rarest)))
+    lookup = rated.select("ikey", F.least(F.size("ts"), F.lit(min(seeds, size))).alias("need"), F.explode(chosen).alias("t")).select("ikey", "need", F.col("t.off").alias("off"), F.col("t.term").alias("term"))
+    lookup = stored(lookup, "decon-seeds")
+    met = postings(docs, lookup).select("doc_id", "text_hash", "ikey", "need", (F.col("pos") - F.col("off")).alias("shift"))
+    return met.groupBy("doc_id", "text_hash", "ikey", "shift", "need").agg(F.count(F.lit(1)).alias("n")).where("n >= need").drop("n", "need")
+
+
+def _occurrences(words: Column, found: Column, size: int) -> Column:
+    """Array of (start, length, ikey): the windows of laid-over items whose words all stand in the document."""
+
+    def of(a: Column) -> Column:
+        length = F.least(F.size(a["item_words"]), F.lit(size))
+        starts = F.sequence(F.lit(1), F.size(a["item_words"]) - length + 1)
+        same = lambda j: (a["shift"] + j >= 1) & (F.slice(words, F.greatest(a["shift"] + j, F.lit(1)), length) == F.slice(a["item_words"], j, length))
+        return F.transform(F.filter(starts, same), lambda j: F.struct((a["shift"] + j - 1).alias("start"), length.alias("length"), a["ikey"].alias("ikey")))
+
+    return F.flatten(F.transform(found, of))
 
 
 def mark(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -77,22 +94,23 @@ def mark(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     prepare(docs.sparkSession)
     added = ["n_words", "n_hit", "n_items", "items", "hit_starts", "text_hash"]
     docs = keyed(docs.drop(*added))
-    windows = stored(windows_of(items, size), "decon-windows")
-    each = windows.select("win", "words").distinct()
-    found = phrase_candidates(docs, each).join(each, "win").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "words", "win")).alias("found"))
+    named_items = stored(items_of(items), "decon-items")
+    each = named_items.select("ikey", "item_words").distinct()
+    found = alignments(docs, each, size).join(each, "ikey").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("shift", "item_words", "ikey")).alias("found"))
     key = found.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "found")
-    joined = docs.withColumn("all", words_of(text_of())).join(key, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
-    true = F.filter(F.coalesce("found", F.array().cast(key.schema["found"].dataType)), lambda c: F.slice("all", c["start"] + 1, F.size(c["words"])) == c["words"])
-    seen = joined.select(*docs.columns, F.size("all").cast("long").alias("n_words"), F.transform(true, lambda c: F.struct(c["start"].alias("start"), F.size(c["words"]).alias("length"), c["win"].alias("win"))).alias("hits"))
+    joined = docs.join(key, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
+    none = F.array().cast(key.schema["found"].dataType)
+    read = joined.withColumn("all", words_of(text_of()))  # after the join: texts are shuffled, not word lists
+    seen = read.withColumns({"n_words": F.size("all").cast("long"), "hits": _occurrences(F.col("all"), F.coalesce("found", none), size)})
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda c: F.sequence(c["start"], c["start"] + c["length"] - 1))))
     seen = stored(
-        seen.select(*docs.columns, "n_words", F.size(covered).cast("long").alias("n_hit"), F.transform("hits", lambda c: F.struct(c["start"].alias("start"), c["length"].alias("length"))).alias("hit_starts"), F.array_distinct(F.transform("hits", lambda c: c["win"])).alias("wins")), "decon-seen"
+        seen.select(*docs.columns, "n_words", F.size(covered).cast("long").alias("n_hit"), F.array_distinct(F.transform("hits", lambda c: F.struct(c["start"].alias("start"), c["length"].alias("length")))).alias("hit_starts"), F.array_distinct(F.transform("hits", lambda c: c["ikey"])).alias("ikeys")), "decon-seen"
     )
     named = (
-        seen.select("doc_id", "text_hash", F.explode("wins").alias("win")).distinct().join(windows.select("win", "item"), "win").select("doc_id", "text_hash", "item").distinct()
+        seen.select("doc_id", "text_hash", F.explode("ikeys").alias("ikey")).distinct().join(named_items.select("ikey", "item"), "ikey").select("doc_id", "text_hash", "item").distinct()
         .groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.sort_array(F.collect_list("item")).alias("items"))
     )
-    out = seen.drop("wins").join(named, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left").drop("d", "h", "text_hash")
+    out = seen.drop("ikeys").join(named, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left").drop("d", "h", "text_hash")
     return out.withColumn("items", F.coalesce("items", F.array().cast("array<string>"))).withColumn("n_items", F.size("items").cast("long"))
 
 
