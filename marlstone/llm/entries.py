@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from marlstone.llm import decontaminate, language_model, pii, quality, simhash, substring_dedup, url_filter
+from marlstone.llm import decontaminate, fingerprint, language_model, pii, quality, simhash, substring_dedup, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op3_url_filter": url_filter.op3_url_filter,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_fingerprint": fingerprint.op7_fingerprint,
     "op8_simhash": simhash.op8_simhash,
     "op9_pii": pii.op9_pii,
     "op10_language_model": language_model.op10_language_model,

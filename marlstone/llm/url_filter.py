@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -166,7 +167,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, hosts: Seq
         for b in batches:
             keys = b.column("keys").flatten().to_pylist()
             h = np.asarray(b.column("hashes").flatten().to_numpy(zero_copy_only=False), np.int64)
-            counts = np.asarray(pa.compute.list_value_length(b.column("keys")).to_numpy(zero_copy_only=False), np.int64)
+            counts = np.asarray(pc.list_value_length(b.column("keys")).to_numpy(zero_copy_only=False), np.int64)
             row = np.repeat(np.arange(b.num_rows), counts)
             best: dict[int, tuple[int, str]] = {}
             blocked: set[int] = set()
