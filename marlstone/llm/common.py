@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +17,25 @@ from pyspark.sql import functions as F
 BATCH_ROWS, BATCH_BYTES = "1024", "16m"
 
 
+def _ship(spark: SparkSession) -> None:
+    """Give executors this package, wherever the driver was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_marlstone_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    if package.is_dir():  # else it came as an archive, which executors have
+        folder = Path(tempfile.mkdtemp(prefix="marlstone-"))
+        atexit.register(shutil.rmtree, folder, True)
+        with zipfile.ZipFile(archive := folder / "marlstone.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        sc.addPyFile(str(archive))
+    sc._marlstone_shipped = True
+
+
 def prepare(spark: SparkSession) -> None:
     """Session settings the operators rely on. Shuffle files go when the query that wrote them ends: what is kept between steps is in stored tables."""
+    _ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
