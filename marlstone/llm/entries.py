@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from marlstone.llm import decontaminate, fingerprint, language_model, pii, quality, sentencepiece_codec, simhash, substring_dedup, url_filter
+from marlstone.llm import decontaminate, fingerprint, language_model, license_scan, pii, quality, sentencepiece_codec, simhash, substring_dedup, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_license": license_scan.op2_license,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_sentencepiece": sentencepiece_codec.op4_sentencepiece,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marlstone.llm.common import prepare
 
@@ -277,10 +278,8 @@ def encode(docs: DataFrame, model_path: str | None = None, n: int = N_BEST, full
                     columns.append(pa.array(lists, pa.list_(pa.list_(pa.int32()))))
                 yield pa.RecordBatch.from_arrays([*b.columns, *columns], names=[*b.schema.names, *added])
 
-    schema = docs.schema
-    for name, kind in added.items():
-        schema = schema.add(name, kind)
-    return docs.mapInArrow(made, schema)
+    more = T.StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in added.items()))
+    return docs.mapInArrow(made, T.StructType([*docs.schema.fields, *more.fields]))
 
 
 def decode(encoded: DataFrame, model_path: str | None = None, column: str = "ids") -> DataFrame:
