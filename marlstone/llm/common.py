@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from itertools import islice
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,6 +70,11 @@ def forget(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def newest(entries: dict, n: int) -> list:
+    """The keys last put into a dictionary, in order."""
+    return list(islice(reversed(entries), n))[::-1]
+
+
 def text_of(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 

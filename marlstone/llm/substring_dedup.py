@@ -7,7 +7,7 @@ suffixes that agree on ``WINDOW`` words: every leaf but the least (document, sta
 
 A task first looks for repeats among the suffixes it has at hand, and sends on only the least leaf of each node: a passage that a third of all rows share costs a bin one suffix for each
 task, not for each row. Suffixes travel in packed runs of some 14 bytes each: 64 and 32 bits of the window's name (that two different windows among 10^13 share both is unlikely), document,
-start. Neither texts nor suffixes are ever gathered by document; repeats go back to their documents in one join.
+start. Repeats travel in packed runs too, to a share of the documents each, and go back to their texts in one join.
 
 Words end at U+0020 and U+0009 to U+000D. Null texts have no words, nothing to remove and the digest of the empty string. Documents with the same id (null ids are one, after all others) are
 ordered by text and count as different documents; of equal rows all but one are removed. An empty table gives no rows. Extra columns stay, except those that are added.
@@ -15,7 +15,6 @@ ordered by text and count as different documents; of equal rows all but one are
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 from collections.abc import Iterator
 
@@ -26,13 +25,13 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import prepare, stored
+from marlstone.llm.common import newest, prepare, stored
 
 WINDOW = 20
 #: Prefix lengths that groups can have below a whole window, buckets of names at each, and suffixes that a group may hold.
 DEPTHS, BUCKETS, GROUP = (1, 2, 4), 1 << 16, 1_000_000
 #: Suffixes a task looks at together, and distinct words whose hashes it remembers.
-CHUNK, MEMO_WORDS = 2_500_000, 1_000_000
+CHUNK, MEMO_WORDS = 1_500_000, 400_000
 
 _BASES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 _LAST = 2**63 - 1
@@ -57,7 +56,7 @@ class _Words:
     def read(self, words: list[bytes]) -> np.ndarray:
         numbers = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
         if new := len(self.memo) - self.hash.shape[1]:
-            raw = b"".join(xxhash.xxh3_128_digest(w) for w in list(self.memo)[-new:])
+            raw = b"".join(xxhash.xxh3_128_digest(w) for w in newest(self.memo, new))
             self.hash = np.concatenate([self.hash, np.frombuffer(raw, "<u8").reshape(-1, 2).T], axis=1)
         out = self.hash[:, numbers]
         if len(self.memo) > MEMO_WORDS:
@@ -77,37 +76,36 @@ def _rolled(v: np.ndarray, n: int, base: np.uint64) -> np.ndarray:
 def _suffixes(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Chunks of (word hashes, starts of suffixes of at least a window among them, document, copy, start in the document)."""
     memo = _Words()
-    words: list[bytes] = []
-    at: list[np.ndarray] = []
+    words: list[np.ndarray] = []
     docs: list[tuple[int, int, int]] = []
     size = 0
 
     def chunk():
-        n = [k for _, _, k in docs]
+        n = np.array([k for _, _, k in docs])
         ids, copies = (np.repeat(np.array([d[i] for d in docs], np.int64), n) for i in (0, 1))
-        place = np.concatenate(at)
-        own = np.arange(len(place)) - np.repeat(np.cumsum([0, *n[:-1]]), n)
-        return memo.read(words), place, ids, copies.astype(np.int32), own.astype(np.int32)
+        own = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        place = own + np.repeat(np.cumsum(n + window - 1) - (n + window - 1), n)
+        return np.concatenate(words, axis=1), place, ids, copies.astype(np.int32), own.astype(np.int32)
 
     for b in batches:
-        for doc, copy, text in zip(b.column("doc_key").to_pylist(), b.column("copy").to_pylist(), b.column("text").to_pylist(), strict=True):
-            w = words_of(text)
+        for doc, copy, text in zip(b.column("doc_key").to_pylist(), b.column("copy").to_pylist(), b.column("text"), strict=True):
+            w = words_of(text.as_py())
             if len(w) < window:
                 continue
-            n = len(w) - window + 1
-            at.append(np.arange(len(words), len(words) + n))
-            docs.append((doc, copy, n))
-            words += w
-            size += n
+            words.append(memo.read(w))
+            docs.append((doc, copy, len(w) - window + 1))
+            size += len(w)
             if size >= CHUNK:
                 yield chunk()
-                words, at, docs, size = [], [], [], 0
+                words, docs, size = [], [], 0
     if size:
         yield chunk()
 
 
-def _groups(v: np.ndarray, place: np.ndarray) -> Iterator[np.ndarray]:
+def _groups(v: np.ndarray, place: np.ndarray, window: int) -> Iterator[np.ndarray]:
     for d in DEPTHS:
+        if d >= window:
+            return
         yield (_rolled(v[0], d, _BASES[0])[place] >> np.uint64(7)).astype(np.int64) % BUCKETS
 
 
@@ -117,7 +115,7 @@ def _counted(docs: DataFrame, window: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(DEPTHS), BUCKETS), np.int64)
         for v, place, *_ in _suffixes(batches, window):
-            for i, g in enumerate(_groups(v, place)):
+            for i, g in enumerate(_groups(v, place, window)):
                 total[i] += np.bincount(g, minlength=BUCKETS)
         full = np.flatnonzero(total.ravel())
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(total.ravel()[full])], names=["bucket", "n"])
@@ -144,7 +142,7 @@ def pack_bins(counts: np.ndarray, bins: int, group: int = GROUP) -> np.ndarray:
 def _repeats(key: np.ndarray, check: np.ndarray, doc: np.ndarray, copy: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Which suffixes agree on their window with an earlier one: in each node of the sorted suffixes, all leaves but the least."""
     out = np.zeros(len(key), bool)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     same = key[order][1:] == key[order][:-1]
     if not same.any():
         return out
@@ -174,7 +172,7 @@ _RUN, _FOUND = ("<u8", "<u4", "<i8", "<i4", "<i4"), ("<i8", "<i4", "<i4")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_key, copy, starts): starts of windows that also start earlier, several rows for a document. ``docs``: (doc_key, copy, text)."""
+    """(doc_key, copy, starts): starts of windows that also start earlier, a row for each document that has any. ``docs``: (doc_key, copy, text)."""
     spark = docs.sparkSession
     bins = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tables = spark.sparkContext.broadcast(pack_bins(_counted(docs, window), bins))  # DEPTHS * BUCKETS numbers
@@ -184,7 +182,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             key, check = (_rolled(x, window, b)[place] for x, b in zip(v, _BASES, strict=True))
             check = (check >> np.uint64(32)).astype(np.uint32)
             to = np.full(len(key), -1, np.int32)
-            for table, g in zip(tables.value, _groups(v, place), strict=True):
+            for table, g in zip(tables.value, _groups(v, place, window), strict=False):
                 to = np.where(to < 0, table[g], to)
             to = np.where(to < 0, (key >> np.uint64(11)).astype(np.int64) % bins, to)
             late = _repeats(key, check, doc, copy, start)
@@ -199,39 +197,66 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary())], names=["bin", "found", "run"])
 
     def sorted_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told(doc: np.ndarray, copy: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
-            order = np.lexsort((start, copy, doc))
-            doc, copy, start = doc[order], copy[order], start[order]
-            first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (copy[1:] != copy[:-1])])) if len(doc) else np.zeros(0, np.int64)
-            cuts = np.append(first, len(doc))
-            for i in range(0, len(first), 4096):
-                c = cuts[i : i + 4097]
-                lists = pa.ListArray.from_arrays(pa.array(c - c[0], pa.int32()), pa.array(start[c[0] : c[-1]], pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(doc[c[:-1]]), pa.array(copy[c[:-1]]), lists], names=["doc_key", "copy", "starts"])
-
-        def tree(runs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        def told(doc: np.ndarray, copy: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+            """Repeats packed for each share of the documents."""
+            to = _share(doc, bins)
+            order = np.lexsort((start, doc, to))
+            cuts = np.searchsorted(to[order], np.arange(bins + 1))
+            full = [s for s in range(bins) if cuts[s] < cuts[s + 1]]
+            packed = [_pack(doc[o], copy[o], start[o]) for o in (order[cuts[s] : cuts[s + 1]] for s in full)]
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(packed, pa.binary())], names=["share", "found"])
+
+        def tree(runs: list[bytes]) -> pa.RecordBatch:
             parts = [_unpack(r, _RUN) for r in runs]
             key = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
             check, doc, copy, start = (np.concatenate([p[i] for p in parts]) for i in range(1, 5))
             late = _repeats(key, check, doc, copy, start)
-            yield from told(doc[late], copy[late], start[late])
+            return told(doc[late], copy[late], start[late])
 
         now, runs = None, []
         for b in batches:
             for bin_, found, run in zip(*(b.column(c).to_pylist() for c in ("bin", "found", "run")), strict=True):
                 if found:
-                    yield from told(*_unpack(run, _FOUND))
+                    yield told(*_unpack(run, _FOUND))
                     continue
                 if bin_ != now and runs:
-                    yield from tree(runs)
+                    yield tree(runs)
                     runs = []
                 now = bin_
                 runs.append(run)
         if runs:
-            yield from tree(runs)
+            yield tree(runs)
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(runs: list[bytes]) -> Iterator[pa.RecordBatch]:
+            doc, copy, start = (np.concatenate(x) for x in zip(*(_unpack(r, _FOUND) for r in runs), strict=True))
+            order = np.lexsort((start, copy, doc))
+            doc, copy, start = doc[order], copy[order], start[order]
+            first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (copy[1:] != copy[:-1])]))
+            cuts = np.append(first, len(doc))
+            for i in range(0, len(first), 4096):
+                c = cuts[i : i + 4097]
+                lists = pa.ListArray.from_arrays(pa.array(c - c[0], pa.int32()), pa.array(start[c[0] : c[-1]], pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(doc[c[:-1]]), pa.array(copy[c[:-1]]), lists], names=["doc_key", "copy", "starts"])
+
+        now, runs = None, []
+        for b in batches:
+            for share, found in zip(b.column("share").to_pylist(), b.column("found").to_pylist(), strict=True):
+                if share != now and runs:
+                    yield from told(runs)
+                    runs = []
+                now = share
+                runs.append(found)
+        if runs:
+            yield from told(runs)
 
     runs = docs.mapInArrow(dealt, "bin int, found boolean, run binary").repartition(bins, "bin").sortWithinPartitions("bin")
-    return runs.mapInArrow(sorted_, "doc_key long, copy int, starts array<int>")
+    found = runs.mapInArrow(sorted_, "share int, found binary").repartition(bins, "share").sortWithinPartitions("share")
+    return found.mapInArrow(gathered, "doc_key long, copy int, starts array<int>")
+
+
+def _share(doc: np.ndarray, shares: int) -> np.ndarray:
+    return ((doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % shares
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -258,8 +283,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     docs = numbered(docs.drop(*added, "doc_key", "copy", "starts"))
     slim = docs.select("doc_key", F.col("copy").cast("int").alias("copy"), "text")
     found = stored(repeats(slim, window), "dedup-repeats")
-    per_doc = found.groupBy("doc_key", "copy").agg(F.flatten(F.collect_list("starts")).alias("starts"))  # at most a document's words
-    joined = docs.join(per_doc, ["doc_key", "copy"], "left")
+    joined = docs.join(found, ["doc_key", "copy"], "left")
     out = joined.select(*(c for c in docs.columns if c not in ("doc_key", "copy")), "starts")
     schema = out.drop("starts").schema
     for name, kind in added.items():
