@@ -95,6 +95,29 @@ class EliasFano:
             out[i : i + _CHUNK] = (block * _BLOCK + k) * 64 + _in_word(words[row, k], left)
         return out
 
+    def _next(self, at: np.ndarray, ones: bool) -> np.ndarray:
+        """Place of the next set (or clear) bit after each place; there is one."""
+        word, out = (at + 1) >> 6, np.empty(len(at), np.int64)
+        mask = _ALL << ((at + 1) & 63).astype(np.uint64)
+        todo = np.arange(len(at))
+        while len(todo):
+            w = self.high[word]
+            w = (w if ones else ~w) & mask
+            hit = w != 0
+            lowest = w[hit]
+            out[todo[hit]] = word[hit] * 64 + np.bitwise_count((lowest & (~lowest + _ONE)) - _ONE)
+            todo, word = todo[~hit], word[~hit] + 1
+            mask = _ALL
+        return out
+
+    def access_pairs(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers at each index and at the one after it."""
+        at = self._select(index, True)
+        both = []
+        for i, place in ((index, at), (index + 1, self._next(at, True) if len(at) else at)):
+            both.append(((place - i).astype(np.uint64) << np.uint64(self.width) | _unpack(self.low, i, self.width)).astype(np.int64))
+        return both[0], both[1]
+
     def access(self, index: np.ndarray) -> np.ndarray:
         index = np.asarray(index, np.int64)
         upper = (self._select(index, True) - index).astype(np.uint64)
@@ -109,8 +132,9 @@ class EliasFano:
         if not len(todo):
             return out
         h, low = upper[todo], values[todo] & np.uint64((1 << self.width) - 1)
-        stop = self._select(h, False) - h  # numbers whose high part is at most h
-        start = np.where(h > 0, self._select(np.maximum(h - 1, 0), False) - (h - 1), 0)
+        before = np.where(h > 0, self._select(np.maximum(h - 1, 0), False), -1)
+        start = before - (h - 1)  # numbers whose high part is below h
+        stop = self._next(before, False) - h
         if begin is not None:
             start, stop = np.maximum(start, begin[todo]), np.minimum(stop, end[todo])
         last = stop.copy()

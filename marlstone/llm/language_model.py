@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import forget, held_out, new_path, prepare, stored
+from marlstone.llm.common import forget, held_out, new_path, newest, prepare, stored
 from marlstone.llm.elias_fano import EliasFano
 
 ORDER, MIN_COUNT, DISCOUNT = 3, 2, 0.75
@@ -160,8 +160,10 @@ class Trie:
             keep = np.flatnonzero(local < shard.contexts) + bounds[s]
             if not len(keep):
                 continue
-            own_c, which = np.unique(c[keep] - shard.first, return_inverse=True)
-            begin, end = level_shard["pointers"].access(own_c).astype(np.int64), level_shard["pointers"].access(own_c + 1).astype(np.int64)
+            near = c[keep] - shard.first  # sorted
+            new = np.append(True, near[1:] != near[:-1])
+            own_c, which = near[new], np.cumsum(new) - 1
+            begin, end = level_shard["pointers"].access_pairs(own_c)
             r2[keep] = level_shard["rest"][own_c][which] / 255.0
             look = np.flatnonzero((end > begin)[which] & (w[keep] >= 0))
             x = keep[look]
@@ -210,7 +212,7 @@ class Tokens:
         numbers = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
         if new := len(self.memo) - len(self.hash):
             h = xxhash.xxh64_intdigest
-            hashes = np.fromiter((h(w) for w in list(self.memo)[-new:]), np.uint64, new)
+            hashes = np.fromiter((h(w) for w in newest(self.memo, new)), np.uint64, new)
             self.hash = np.concatenate([self.hash, hashes])
             if self.trie:
                 ids, counts = self.trie.words(hashes)
@@ -240,7 +242,7 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(keys):
         return keys, counts
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return keys[first], np.add.reduceat(counts[order], first)
@@ -268,7 +270,7 @@ def _runs(docs: DataFrame, model: Model | None, level: int, shards: int) -> Data
                 to = np.searchsorted(ranges, keys, side="right") - 1
             else:
                 to = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % shards
-            order = np.argsort(to, kind="stable")
+            order = np.argsort(to.astype(np.uint16) if shards < 1 << 16 else to, kind="stable")  # of 16 bits: by radix
             cuts = np.searchsorted(to[order], np.arange(shards + 1))
             full = [s for s in range(shards) if cuts[s] < cuts[s + 1]]
             runs = [_packed(keys[o], counts[o]) for o in (order[cuts[s] : cuts[s + 1]] for s in full)]
