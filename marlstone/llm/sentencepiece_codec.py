@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import prepare
+from marlstone.llm.common import newest, prepare
 
 N_BEST = 4
 #: Scores at or below this mark pieces never to be used; characters without a piece score this much below the least piece.
 NEVER, UNKNOWN_GAP = -1e8, 10.0
-#: Distinct units a task remembers.
-MEMO_UNITS = 500_000
+#: Distinct units a task remembers, and characters up to which units are segmented together.
+MEMO_UNITS, TOGETHER = 500_000, 64
 
 _UNITS = re.compile(r" ?[^ \n]+|\n| ")
 
@@ -43,6 +43,22 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hashes(codes: np.ndarray) -> np.ndarray:
+    """Of each row of code points."""
+    h = np.zeros(len(codes), np.uint64)
+    for column in codes.T:
+        h = _further(h, column)
+    return h
+
+
+def _further(h: np.ndarray, code: np.ndarray) -> np.ndarray:
+    h = (h ^ (code.astype(np.uint64) + np.uint64(1))) * _BASE
+    return h ^ (h >> np.uint64(32))
+
+
 class Vocabulary:
     """Pieces with blanks as blanks, their scores, and the ids of the 256 bytes."""
 
@@ -70,8 +86,16 @@ class Vocabulary:
         self.bytes = [bytes_[b] for b in range(256)]
         if any(" " in p[1:] or "\n" in p for p in self.pieces):
             raise ValueError("pieces hold inner blanks or line feeds")
-        self.prefixes = {p[:n] for p in self.pieces for n in range(1, len(p) + 1)}
         self.unknown = min(s for _, s in self.pieces.values()) - UNKNOWN_GAP
+        self.prefixes = {p[:n] for p in self.pieces for n in range(1, len(p) + 1)}
+        # for each length, the hashes of pieces and their beginnings, sorted, with piece ids (-1: only a beginning) and scores
+        self.by_length = []
+        for n in range(1, max(map(len, self.pieces)) + 1):
+            own = sorted(p for p in self.prefixes if len(p) == n)
+            h = _hashes(np.frombuffer("".join(own).encode("utf-32-le"), np.uint32).reshape(-1, n))
+            order = np.argsort(h)
+            found = [self.pieces.get(own[i], (-1, 0.0)) for i in order]
+            self.by_length.append((h[order], np.array([i for i, _ in found], np.int64), np.array([x for _, x in found])))
 
     def arcs(self, unit: str) -> list[list[tuple[int, int, float]]]:
         """For each end, (start, piece id or -1, score), by start."""
@@ -144,11 +168,11 @@ def second_loss(arcs, best: list[float], by) -> float:
 def n_best(arcs, best: list[float], n: int) -> list[tuple[float, list[tuple[int, int, int]]]]:
     """The ``n`` best segmentations by backward A-star: (score, path of (start, end, piece))."""
     end = len(arcs) - 1
-    heap: list = [(-best[end], 0, end, 0.0, None)]
+    heap: list = [(-best[end], end, 0, 0.0, None)]  # of equal scores the one nearest to the start, so that ties don't fan out
     made = 1
     out = []
     while heap and len(out) < n:
-        f, _, node, g, path = heapq.heappop(heap)
+        f, node, _, g, path = heapq.heappop(heap)
         if node == 0:
             steps = []
             while path:
@@ -157,7 +181,7 @@ def n_best(arcs, best: list[float], n: int) -> list[tuple[float, list[tuple[int,
             out.append((-f, steps))
             continue
         for i, piece, score in arcs[node]:
-            heapq.heappush(heap, (-(g + score + best[i]), made, i, g + score, ((i, node, piece), path)))
+            heapq.heappush(heap, (-(g + score + best[i]), i, made, g + score, ((i, node, piece), path)))
             made += 1
     return out
 
@@ -184,25 +208,112 @@ class Encoder:
         done = len(self.score)
         if done == len(self.index):
             return
-        v = self.vocabulary
-        ids: list[int] = []
-        ends, scores, losses = [], [], []
-        for unit in list(self.index)[done:]:
-            arcs = v.arcs(unit)
+        new = newest(self.index, len(self.index) - done)
+        short = [i for i, u in enumerate(new) if len(u) <= TOGETHER]
+        sizes, scores, losses = np.zeros(len(new), np.int64), np.zeros(len(new)), np.zeros(len(new))
+        ids: list[np.ndarray] = [np.zeros(0, np.int32)] * len(new)
+        if short:
+            flat, sizes[short], scores[short], losses[short] = self._together([new[i] for i in short])
+        for i in [i for i, u in enumerate(new) if len(u) > TOGETHER]:
+            arcs = self.vocabulary.arcs(new[i])
             best, by = forward(arcs)
-            path, j = [], len(unit)
+            path, j = [], len(new[i])
             while j:
-                i, piece = by[j]
-                path.append((i, j, piece))
-                j = i
-            ids += v.ids_of(unit, path[::-1])
-            ends.append(len(ids))
-            scores.append(best[-1])
-            losses.append(second_loss(arcs, best, by))
-        self.start = np.concatenate([self.start, np.array(ends, np.int64) + self.start[-1]])
-        self.ids = np.concatenate([self.ids, np.array(ids, np.int32)])
+                k, piece = by[j]
+                path.append((k, j, piece))
+                j = k
+            ids[i] = np.array(self.vocabulary.ids_of(new[i], path[::-1]), np.int32)
+            sizes[i], scores[i], losses[i] = len(ids[i]), best[-1], second_loss(arcs, best, by)
+        if len(short) < len(new):
+            at = np.concatenate([[0], np.cumsum(sizes[short])]) if short else [0]
+            for k, i in enumerate(short):
+                ids[i] = flat[at[k] : at[k + 1]]
+            flat = np.concatenate(ids)
+        self.start = np.concatenate([self.start, np.cumsum(sizes) + self.start[-1]])
+        self.ids = np.concatenate([self.ids, flat])
         self.score, self.loss = np.concatenate([self.score, scores]), np.concatenate([self.loss, losses])
 
+    def _together(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Best paths of many short units at once: ids one after another, how many each has, scores, losses of the second-best paths.
+        The same as ``forward`` and ``second_loss``, node by node of all units together."""
+        v = self.vocabulary
+        size = np.array([len(u) for u in units])
+        codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+        unit = np.repeat(np.arange(len(units)), size)
+        first = np.cumsum(size) - size
+        place = np.arange(len(codes)) - first[unit]
+        left = size[unit] - place
+        # arcs by length of the piece
+        at, h = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
+        starts, lengths, pieces, scores = [], [], [], []
+        single = np.zeros(len(codes), bool)
+        for n, (known, piece, score) in enumerate(v.by_length, 1):
+            keep = left[at] >= n
+            at, h = at[keep], h[keep]
+            h = _further(h, codes[at + n - 1])
+            where = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            hit = known[where] == h
+            at, h, where = at[hit], h[hit], where[hit]
+            whole = piece[where] >= 0
+            starts.append(at[whole])
+            pieces.append(piece[where[whole]])
+            scores.append(score[where[whole]])
+            lengths.append(np.full(len(starts[-1]), n))
+            if n == 1:
+                single[starts[-1]] = True
+            if not len(at):
+                break
+        bare = np.flatnonzero(~single)
+        char = np.concatenate([*starts, bare])
+        length = np.concatenate([*lengths, np.ones(len(bare), np.int64)])
+        piece = np.concatenate([*pieces, np.full(len(bare), -1)])
+        score = np.concatenate([*scores, np.full(len(bare), v.unknown)])
+        tail = char + unit[char]  # a unit of n characters has n + 1 nodes
+        head = tail + length
+        origin, goal = first + np.arange(len(units)), first + np.arange(len(units)) + size
+
+        def swept(rank: np.ndarray, to: np.ndarray, tie: np.ndarray, of: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Best score at each node from ``begin`` nodes on, taking arcs by ``rank``, and the arc it comes by (of equal ones that with the least ``tie``)."""
+            best, by = np.full(len(codes) + len(units), -np.inf), np.full(len(codes) + len(units), -1)
+            best[begin] = 0.0
+            order = np.argsort((rank << 44) | (to << 7) | tie)
+            steps = np.searchsorted(rank[order], np.arange(int(rank.max()) + 2))
+            for a, b in zip(steps[:-1], steps[1:], strict=True):
+                if a == b:
+                    continue
+                o = order[a:b]
+                value = best[of[o]] + score[o]
+                new = np.append(True, to[o][1:] != to[o][:-1])
+                seg = np.flatnonzero(new)
+                top = np.maximum.reduceat(value, seg)
+                equal = np.flatnonzero(value == top[np.cumsum(new) - 1])
+                owner = to[o[equal]]
+                pick = equal[np.append(True, owner[1:] != owner[:-1])]
+                best[to[o[pick]]], by[to[o[pick]]] = value[pick], o[pick]
+            return best, by
+
+        best, by = swept(place[char] + length, head, TOGETHER - length + 1, tail, origin)
+        back, _ = swept(TOGETHER - place[char], tail, length, head, goal)
+        on = np.zeros(len(char), bool)
+        node = goal
+        while len(node):
+            arc = by[node]
+            on[arc] = True
+            node = tail[arc]
+            node = node[place[char[arc]] > 0]
+        by_tail = np.argsort(tail)
+        other = np.where(on, -np.inf, best[tail] + score + back[head])[by_tail]
+        other = np.maximum.reduceat(other, np.searchsorted(tail[by_tail], origin))
+        path = by_tail[on[by_tail]]
+        wide = np.ones(len(path), np.int64)
+        unknown = np.flatnonzero(piece[path] < 0)
+        spelled = [[v.bytes[b] for b in chr(codes[char[path[i]]]).encode()] for i in unknown]
+        wide[unknown] = [len(x) for x in spelled]
+        flat = np.repeat(piece[path], wide).astype(np.int32)
+        if spelled:
+            flat[flat < 0] = np.array([b for x in spelled for b in x], np.int32)
+        return flat, np.add.reduceat(wide, np.searchsorted(unit[char[path]], np.arange(len(units)))), best[goal], best[goal] - other
+
     def _best_of_unit(self, unit: str) -> list[tuple[float, list[int]]]:
         if unit not in self.several:
             arcs = self.vocabulary.arcs(unit)
@@ -293,7 +404,7 @@ def decode(encoded: DataFrame, model_path: str | None = None, column: str = "ids
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "decoded"])
 
     rest = encoded.drop("decoded")
-    return rest.mapInArrow(made, rest.schema.add("decoded", "string"))
+    return rest.mapInArrow(made, T.StructType([*rest.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def op4_sentencepiece(spark, sf_dir: str) -> DataFrame:
