@@ -6,6 +6,7 @@ import os
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from marlstone.functions.casts import from_text, to_text
 from marlstone.functions.expressions import add, col, compare, lit
 from marlstone.operators.aggregate import aggregate
 from marlstone.operators.relational import filter_rows, group_top, scan, top_k
+from marlstone.sources.column_file import read_column_file, write_column_file
 from marlstone.sources.csv_io import read_csv, write_csv
 from marlstone.types import to_spark_type
 
@@ -109,6 +111,9 @@ def _fill() -> None:
     for table in ("nation", "documents", "pages", "events"):
         _put(f"csv_roundtrip_{table}", f"SELECT * FROM {table}", lambda s, d, t=table: csv_round_trip(s, scan(s, f"{d}/{t}.parquet")))
 
+    _put("column_file_roundtrip", "SELECT * FROM nation", lambda s, d: column_file_round_trip(s, scan(s, f"{d}/nation.parquet")))
+    _put("boolean_connectives", "SELECT count(*) AS c FROM events WHERE event_type IN ('click', 'view') AND NOT (user_id < 10 OR value IS NULL) AND props LIKE '%{%'", lambda s, d: scan(s, f"{d}/events.parquet").filter(F.col("event_type").isin("click", "view") & ~((F.col("user_id") < 10) | F.col("value").isNull()) & F.col("props").like("%{%")).agg(F.count(F.lit(1)).alias("c")))
+
     def n() -> Column:
         return F.count(F.lit(1)).alias("c")
 
@@ -130,12 +135,22 @@ def _fill() -> None:
     _put("date_trunc_group", "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS h, count(*) AS c FROM events GROUP BY h", lambda s, d: scan(s, f"{d}/events.parquet", ["ts"]).groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("h")).agg(n()))
 
 
+def _shared(spark: SparkSession, label: str) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/marlstone"
+    return os.path.join(root if urlparse(root).scheme else os.path.abspath(root), f"{label}-{uuid.uuid4().hex}")
+
+
+def column_file_round_trip(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Write a small table as one legacy column file and read it back. The file is written by the driver, so the session's shared folder must be a mounted path."""
+    path = urlparse(_shared(spark, "columns")).path
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    write_column_file(df, path, 10)
+    return read_column_file(spark, path)
+
+
 def csv_round_trip(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Write as CSV into the session's shared folder and read back; microseconds are kept. NULLs have no CSV form here: strings come back empty."""
-    from urllib.parse import urlparse
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/marlstone"
-    path = os.path.join(root if urlparse(root).scheme else os.path.abspath(root), f"csv-{uuid.uuid4().hex}")
+    path = _shared(spark, "csv")
     micros = "yyyy-MM-dd HH:mm:ss.SSSSSS"
     write_csv(df, path, timestamp_format=micros)
     return read_csv(spark, path, df.schema, timestamp_format=micros)
