@@ -2,8 +2,8 @@
 
 Multinomial logistic regression over the presence of word unigrams and bigrams, with an L1 penalty that leaves few weights, tells licence families, licence wording of no known family (``unknown``) and no licence
 (``none``) apart. It is trained on the driver from the notices below, with words dropped and surrounded by others at random (seeded), and from a bounded sample of the corpus's own paragraphs. A
-temperature fitted on held-out variants calibrates its probabilities; a licence whose family has less than ``SURE`` is ``unknown``. A family stands if the paragraph covers enough of
-one of its templates' words (``confirmed``); without that it is reported unconfirmed.
+temperature fitted on held-out variants calibrates its probabilities; a licence whose family has less than ``SURE`` is ``unknown``. A family stands only if the paragraph covers ``COVERED`` of the words of
+one of its templates (``confirmed``), words that few families use weighing more; else it is ``unknown`` too.
 
 Weights say which words no licence can do without: a paragraph with none of these *anchors* cannot outweigh ``none`` even with every other weighted word, so that a scan for
 anchors leaves out no paragraph that the model would report. What remains is joined with the weights, a few hundred rows, and aggregated by paragraph.
@@ -14,12 +14,14 @@ doc_id and text are ignored.
 
 from __future__ import annotations
 
+import math
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import prepare, text_of
@@ -48,7 +50,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "public-domain": ("This is free and unencumbered software released into the public domain", "Dedicated to the public domain under CC0 1.0", "SPDX-License-Identifier: CC0-1.0"),
 }
 #: Licence wording of no known family, and plain sentences with such words.
-UNKNOWN = ("Licensed under the terms below", "This software is provided under a custom license", "Use is subject to the license agreement", "All rights reserved. No part may be copied without permission", "Released under its own licence", "Copyright notice and licence terms apply")
+UNKNOWN = ("Licensed under the terms below", "Licensed under the Acme Public License, version 1", "Released under the Acme License.", "This work is licensed under the Acme License 7", "This software is provided under a custom license", "Use is subject to the license agreement", "All rights reserved. No part may be copied without permission", "Released under its own licence", "Copyright notice and licence terms apply")
 PLAIN = ("The driver lost his license after the race", "They apply the version of the work in public", "The general released the terms to the public", "a copy of the version under the free work", "This work is for any person and may be free of charge")
 
 
@@ -98,19 +100,20 @@ def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return min(np.geomspace(0.2, 5, 60), key=loss)
 
 
-def _anchors(vocabulary: list[str], w: np.ndarray, b: np.ndarray, none: int) -> list[str]:
-    """Words without any of which no class outweighs ``none``: the most weighted words are added until what the other features could do at most falls short."""
+def _anchors(vocabulary: list[str], w: np.ndarray, b: np.ndarray, none: int, temperature: float, common: Counter) -> list[str]:
+    """Words without any of which all classes together cannot outweigh ``none``. Words are added by the weight they take from what other features could do at most, for their frequency in the corpus's
+    own paragraphs, until that falls short."""
     over = np.maximum(np.delete(w, none, axis=1) - w[:, [none]], 0)
-    lead = np.delete(b, none) - b[none]
+    lead = np.delete(b, none) - b[none] + temperature * math.log(len(b))
     left = {g: over[i] for i, g in enumerate(vocabulary)}
     out: list[str] = []
-    while left and (lead + sum(left.values())).max() >= 0:
-        worst = int((lead + sum(left.values())).argmax())
+    while left and (reach := lead + sum(left.values())).max() >= 0:
+        short = np.maximum(reach, 0)
         gain: dict[str, float] = {}
         for g, v in left.items():
             for word in g.split():
-                gain[word] = gain.get(word, 0.0) + v[worst]
-        word = max(gain, key=lambda k: (gain[k], k))
+                gain[word] = gain.get(word, 0.0) + float(np.minimum(v, short).sum())
+        word = max(gain, key=lambda k: (gain[k] / (1 + common[k]), k))
         out.append(word)
         left = {g: v for g, v in left.items() if word not in g.split()}
     return sorted(out)
@@ -141,7 +144,7 @@ def train(paragraphs: list[str], seed: int = 11) -> Model:
     temperature = _temperature(x[held] @ w + b, y[held])
     used = np.flatnonzero(np.abs(w).sum(axis=1))
     vocabulary = [known[i] for i in used]
-    return Model(classes, {g: w[i].tolist() for g, i in zip(vocabulary, used, strict=True)}, b.tolist(), float(temperature), _anchors(vocabulary, w[used], b, len(classes) - 1))
+    return Model(classes, {g: w[i].tolist() for g, i in zip(vocabulary, used, strict=True)}, b.tolist(), float(temperature), _anchors(vocabulary, w[used], b, len(classes) - 1, temperature, Counter(t for p in plain for t in set(p))))
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
@@ -156,13 +159,18 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
     k = len(model.classes)
+    repeated = not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
     lines = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), F.posexplode(F.split(F.lower(text_of()), "\n")).alias("paragraph", "line"))
     anchored = lines.where(F.col("line").rlike(rf"(?<![a-z0-9])(?:{'|'.join(model.anchors)})(?![a-z0-9])")) if model.anchors else lines
-    worded = anchored.distinct().withColumn("words", F.array_remove(F.split("line", "[^a-z0-9]+"), "")).where(F.size("words") > 0)
-    pairs = F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words")), lambda a, b: F.concat_ws(" ", a, b))
-    grams = worded.select("doc_id", "text_hash", "paragraph", "words", F.explode(F.array_distinct(F.concat("words", pairs))).alias("gram"))
-    weights = spark.createDataFrame([(g, w) for g, w in model.weights.items()], "gram string, w array<double>")
-    sums = grams.join(F.broadcast(weights), "gram").groupBy("doc_id", "text_hash", "paragraph").agg(F.first("words").alias("words"), *(F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(k)))
+    worded = anchored.withColumn("words", F.array_remove(F.split("line", "[^a-z0-9]+"), ""))
+    pairs = F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.size("words")), lambda a, b: F.concat_ws(" ", a, b))
+    grams = worded.select("doc_id", "text_hash", "paragraph", F.explode(F.array_distinct(F.concat("words", pairs))).alias("gram"))
+    families = {f: {w for t in ts for w in tokens_of(t)} for f, ts in TEMPLATES.items()}
+    every = model.weights | {w: [0.0] * k for ws in families.values() for w in ws if w not in model.weights}
+    weights = spark.createDataFrame(list(every.items()), "gram string, w array<double>")
+    # repeated rows count once; a paragraph's grams are summed where they are made, and no line is shuffled
+    met = grams.join(F.broadcast(weights), "gram").groupBy("doc_id", "text_hash", "paragraph", "gram").agg(F.first("w").alias("w")) if repeated else grams.join(F.broadcast(weights), "gram")
+    sums = met.groupBy("doc_id", "text_hash", "paragraph").agg(F.collect_set("gram").alias("words"), *(F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(k)))
     logits = F.array(*((F.col(f"s{i}") + F.lit(model.bias[i])) / F.lit(model.temperature) for i in range(k)))
     rated = sums.select("doc_id", "text_hash", "paragraph", "words", logits.alias("z")).withColumn("e", F.transform("z", lambda v: F.exp(v - F.array_max("z"))))
     rated = rated.withColumn("p", F.transform("e", lambda v: v / F.aggregate("e", F.lit(0.0), lambda a, x: a + x)))
@@ -170,11 +178,17 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     family = F.element_at(F.array(*map(F.lit, model.classes)), F.array_position("p", best).cast("int"))
     licence = F.lit(1.0) - F.element_at("p", k)
     found = rated.where(licence >= 0.5).withColumn("family", F.when(best >= SURE, family).otherwise(F.lit("unknown"))).withColumn("probability", F.when(best >= SURE, best).otherwise(licence))
-    templates = spark.createDataFrame([(f, sorted(set(tokens_of(t)))) for f, ts in TEMPLATES.items() for t in ts], "family string, template array<string>")
-    near = templates.groupBy("family").agg(F.collect_list("template").alias("templates"))  # a few for each family
-    likest = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("words"))) / F.size(t)))
-    out = found.join(F.broadcast(near), "family", "left").withColumn("similarity", F.coalesce(likest, F.lit(0.0)))
-    return out.select("doc_id", "text_hash", F.col("paragraph").cast("long").alias("paragraph"), "family", "probability", "similarity", (F.col("similarity") >= COVERED).alias("confirmed"))
+    weight = {w: math.log(1 + len(families) / sum(w in ws for ws in families.values())) for ws in families.values() for w in ws}
+    rows = [(f, [[(w, weight[w]) for w in sorted(set(tokens_of(t)))] for t in ts]) for f, ts in TEMPLATES.items()]
+    templates = spark.createDataFrame(rows, "family string, templates array<array<struct<word:string,weight:double>>>")
+
+    def total(words: Column) -> Column:
+        return F.aggregate(words, F.lit(0.0), lambda a, x: a + x["weight"])
+
+    covered = F.array_max(F.transform("templates", lambda t: total(F.filter(t, lambda x: F.array_contains(F.col("words"), x["word"]))) / total(t)))
+    out = found.join(F.broadcast(templates), "family", "left").withColumn("similarity", F.coalesce(covered, F.lit(0.0)))
+    out = out.withColumn("confirmed", F.col("similarity") >= COVERED)
+    return out.select("doc_id", "text_hash", F.col("paragraph").cast("long").alias("paragraph"), F.when(F.col("confirmed"), F.col("family")).otherwise(F.lit("unknown")).alias("family"), "probability", "similarity", "confirmed")
 
 
 def op2_license(spark, sf_dir: str) -> DataFrame:
