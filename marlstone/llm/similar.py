@@ -2,8 +2,10 @@
 
 Texts that share 0.8 of their word shingles differ in some 9 bits of a 64-bit SimHash and up to 14, a radius for which covering masks number 32,767; the two bits that covering finds at little cost
 reach texts of similarity 0.97 or so. So the stage adds prefix filtering: in any fixed order of shingles, two sets with Jaccard similarity of at least ``SIMILARITY`` share one of their first ``n - ceil(SIMILARITY * n) + 1``.
-Each shingle's documents, by size classes one threshold apart, are tied to the least of their class and of the class below, a star instead of all pairs, so that groups of any size cost a line for each member.
-Each pair is then checked: by its whole shingle sets up to ``SKETCH`` shingles, and beyond by the least ``SKETCH`` hashes of their union (standard error below 0.02).
+Each shingle's documents, by size classes one threshold apart, are tied to the first of their class and of the class below in an order that the shingle shuffles: a star instead of all pairs, so that groups of
+any size cost two lines for each member, with another center for each of the many shingles that two similar texts share. Texts whose common shingles are all very common ones would meet too many others as
+centers; bands of minimum hashes are keys beside the shingles, whose groups are alike throughout, and in groups of up to ``FEW`` each member is tied to the next ``NEXT`` as well.
+Pairs whose SimHashes are further apart than any such pair's are dropped, and the rest is checked: by whole shingle sets up to ``SKETCH`` shingles, and beyond by the least ``SKETCH`` hashes of their union (standard error below 0.02).
 
 Texts with the same words are one class (known by a 64-bit hash of the words) from the start. A component's document with the smallest id stays; null ids stay only where there is no other. Of rows equal in id and text one stays. Null and
 empty texts are one class. An empty table gives no rows. Extra columns stay.
@@ -25,18 +27,48 @@ from marlstone.llm.simhash import components, fingerprint, links, shingle_hashes
 from marlstone.llm.substring_dedup import _pack, _unpack
 
 SHINGLE, SIMILARITY, SKETCH = 5, 0.8, 512
+#: SimHash bits in which texts of the similarity never differ: at 0.8 the mean is 9.7 and the standard deviation 2.9, six of which are allowed for.
+FAR_BITS = 26
+#: Bands of minimum hashes, and hashes in each: 0.9997 of pairs at the similarity of 0.8 agree in some band.
+BANDS, ROWS = 20, 5
+#: Members of a group that is no large one, and how many next ones each is tied to there.
+FEW, NEXT = 64, 8
 RUN_ROWS = 2_000_000
 
 _ENTRY = ("<u8", "<i8", "<i4")
 
 
-def signature(text: str | None, size: int = SHINGLE, similarity: float = SIMILARITY) -> tuple[int, int, int, np.ndarray, np.ndarray]:
-    """Hash of the words, SimHash, number of distinct shingles, the prefix of their ordered hashes, and the least ``SKETCH`` of their upper halves."""
-    words = words_of(text)
-    each = shingle_hashes(words, size)
-    hashes = np.unique(each)
-    prefix = hashes[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
-    return xxhash.xxh64_intdigest(b" ".join(words)), fingerprint(each), len(hashes), prefix, (hashes[:SKETCH] >> np.uint64(32)).astype(np.uint32)
+_TURNS = np.random.default_rng(7).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """One key for each band of minimum hashes of a set; none for the empty set."""
+    if not len(hashes):
+        return hashes
+    least = np.full(len(_TURNS), ~np.uint64(0))
+    for i in range(0, len(hashes), 1024):
+        part = hashes[i : i + 1024]
+        part = part ^ (part >> np.uint64(31))
+        least = np.minimum(least, (part[None, :] * _TURNS[:, None]).min(axis=1))
+    least = (least >> np.uint64(16)).reshape(BANDS, ROWS)
+    key = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
+    for r in range(ROWS):
+        key = (key ^ least[:, r]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(32)
+    return key
+
+
+def words_hash(words: list[bytes]) -> int:
+    return xxhash.xxh64_intdigest(b" ".join(words))
+
+
+def prefix(hashes: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The first of a set's ordered hashes, one of which any set of that similarity shares."""
+    return hashes[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    return (hashes[:SKETCH] >> np.uint64(32)).astype(np.uint32)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> float:
@@ -52,18 +84,31 @@ def jaccard(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> float:
     return float(np.count_nonzero(again & (both[1:] <= union[-1])) / len(union))
 
 
-def signatures(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+def marks(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, text_hash, words, fp): the hash of each text's words, and its SimHash."""
+
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [signature(t, size, similarity) for t in b.column("text").to_pylist()]
-            longs = [np.array([g[i] for g in got], np.uint64).view(np.int64) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("text_hash"), pa.array(longs[0]), pa.array(longs[1]), pa.array([g[2] for g in got], pa.int32()), pa.array([g[3].tobytes() for g in got], pa.binary()), pa.array([g[4].tobytes() for g in got], pa.binary())],
-                names=["doc_id", "text_hash", "words", "fp", "n", "prefix", "sketch"],
-            )
+            words = [words_of(t) for t in b.column("text").to_pylist()]
+            own = np.array([words_hash(w) for w in words], np.uint64).view(np.int64)
+            fp = np.array([fingerprint(shingle_hashes(w, size)) for w in words], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(own), pa.array(fp)], names=["doc_id", "text_hash", "words", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("text_hash"), "text")
-    return rows.mapInArrow(made, "doc_id long, text_hash long, words long, fp long, n int, prefix binary, sketch binary")
+    return rows.mapInArrow(made, "doc_id long, text_hash long, words long, fp long")
+
+
+def sketches(docs: DataFrame, size: int) -> DataFrame:
+    """(words, n, sketch) for each row of ``docs``."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [words_of(t) for t in b.column("text").to_pylist()]
+            sets = [np.unique(shingle_hashes(w, size), return_counts=True)[0] for w in words]
+            own = np.array([words_hash(w) for w in words], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([len(x) for x in sets], pa.int32()), pa.array([sketch(x).tobytes() for x in sets], pa.binary())], names=["words", "n", "sketch"])
+
+    return docs.select("text").mapInArrow(made, "words long, n int, sketch binary")
 
 
 def _packed_pairs(a: np.ndarray, b: np.ndarray, shares: int) -> pa.RecordBatch:
@@ -76,10 +121,10 @@ def _packed_pairs(a: np.ndarray, b: np.ndarray, shares: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["share", "run"])
 
 
-def candidates(marks: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs (a, b) of word hashes that share a shingle of their prefixes, by stars. ``marks``: (words, n, prefix)."""
-    parts = int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    step = -math.log(similarity)
+def candidates(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) of word hashes that share a shingle of their prefixes or a band, by stars."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    step, shingle = -math.log(similarity), size
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -96,9 +141,12 @@ def candidates(marks: DataFrame, similarity: float) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["share", "run"])
 
         for b in batches:
-            for words, n, prefix in zip(b.column("words").to_pylist(), b.column("n").to_pylist(), b.column("prefix").to_pylist(), strict=True):
-                key = np.frombuffer(prefix, np.uint64)
-                held.append((key, np.full(len(key), words, np.int64), np.full(len(key), int(math.log(max(n, 1)) / step + 1e-9), np.int32)))
+            for text in b.column("text"):
+                w = words_of(text.as_py())
+                hashes = np.unique(shingle_hashes(w, shingle), return_counts=True)[0]
+                key = np.concatenate([prefix(hashes, similarity), bands(hashes)])
+                own = np.int64(np.uint64(words_hash(w)).astype(np.int64))
+                held.append((key, np.full(len(key), own), np.full(len(key), int(math.log(max(len(hashes), 1)) / step + 1e-9), np.int32)))
                 size += len(key)
             if size >= RUN_ROWS:
                 yield flush()
@@ -108,8 +156,12 @@ def candidates(marks: DataFrame, similarity: float) -> DataFrame:
 
     def starred(runs: list[bytes]) -> pa.RecordBatch:
         key, words, level = (np.concatenate(x) for x in zip(*(_unpack(r, _ENTRY) for r in runs), strict=True))
-        order = np.lexsort((words, level, key))
+        # who is least differs from shingle to shingle, so that members of a family meet many others as centers
+        turn = (key ^ words.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        order = np.lexsort((words, turn ^ (turn >> np.uint64(29)), level, key))
         key, words, level = key[order], words[order], level[order]
+        new = np.append(True, (key[1:] != key[:-1]) | (words[1:] != words[:-1]))
+        key, words, level = key[new], words[new], level[new]
         head = np.append(True, (key[1:] != key[:-1]) | (level[1:] != level[:-1]))
         group = np.cumsum(head) - 1
         first = np.flatnonzero(head)
@@ -118,8 +170,19 @@ def candidates(marks: DataFrame, similarity: float) -> DataFrame:
         mark = np.full(len(first), -1, np.int64)
         mark[below] = first[below - 1]
         lower = mark[group]
-        a = np.concatenate([center, words[lower[lower >= 0]]])
-        b = np.concatenate([words, words[lower >= 0]])
+        a, b = [center, words[lower[lower >= 0]]], [words, words[lower >= 0]]
+        # groups of up to FEW members also tie each to the next few, whatever the center
+        turn = (key ^ words.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = np.lexsort((words, turn ^ (turn >> np.uint64(29)), key))
+        k, w, v = key[mixed], words[mixed], level[mixed]
+        edge = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        size = np.diff(edge, append=len(k))
+        small = np.repeat(size <= FEW, size)
+        for hop in range(1, NEXT + 1):
+            i = np.flatnonzero(small[:-hop] & (k[:-hop] == k[hop:]) & (np.abs(v[:-hop] - v[hop:]) <= 1))
+            a.append(w[i])
+            b.append(w[i + hop])
+        a, b = np.concatenate(a), np.concatenate(b)
         apart = a != b
         return _packed_pairs(np.minimum(a, b)[apart], np.maximum(a, b)[apart], parts)
 
@@ -140,14 +203,13 @@ def candidates(marks: DataFrame, similarity: float) -> DataFrame:
         pairs = np.unique(np.stack([a, b], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    runs = marks.mapInArrow(dealt, "share int, run binary").repartition(parts, "share").sortWithinPartitions("share")
+    runs = docs.select("text").mapInArrow(dealt, "share int, run binary").repartition(parts, "share").sortWithinPartitions("share")
     packed = runs.mapInArrow(lambda it: by_share(it, starred), "share int, run binary").repartition(parts, "share").sortWithinPartitions("share")
     return packed.mapInArrow(lambda it: by_share(it, opened), "a long, b long")
 
 
-def checked(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose shingles are similar enough."""
-    own = marks.select("words", "n", "sketch")
+def checked(pairs: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shingles are similar enough. ``own``: (words, n, sketch), each words once."""
     left, right = (own.select(F.col("words").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
     both = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb"))
 
@@ -163,15 +225,24 @@ def checked(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
 def groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, text_hash, root) for each row of ``docs``: rows with the same root are one near-duplicate group."""
     prepare(docs.sparkSession)
-    rows = stored(signatures(docs, size, similarity), "similar-rows")
-    one = stored(rows.groupBy("words").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")), "similar-classes")
+    docs = docs.select("doc_id", "text")
+    rows = stored(marks(docs, size), "similar-rows")
+    classes = rows.groupBy("words").agg(F.first("fp").alias("fp"))
     # SimHash: one class for each fingerprint stands for those that share it
-    named = stored(one.groupBy("fp").agg(F.min("words").alias("w")), "similar-fp")
+    named = stored(classes.groupBy("fp").agg(F.min("words").alias("w")), "similar-fp")
     near = links(named.select("fp")).join(named.select(F.col("fp").alias("a"), F.col("w").alias("wa")), "a").join(named.select(F.col("fp").alias("b"), F.col("w").alias("wb")), "b").select(F.col("wa").alias("a"), F.col("wb").alias("b"))
-    same = one.select("fp", "words").join(named, "fp").where("words <> w").select(F.col("w").alias("a"), F.col("words").alias("b"))
-    pairs = candidates(one.select("words", "n", "prefix"), similarity).unionByName(near).unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges = stored(checked(stored(pairs, "similar-pairs"), one, similarity), "similar-edges")
-    forget(one)
+    same = classes.join(named, "fp").where("words <> w").select(F.col("w").alias("a"), F.col("words").alias("b"))
+    met = stored(candidates(docs, size, similarity).unionByName(near).unionByName(same), "similar-met")
+    fps = [classes.select(F.col("words").alias(c), F.col("fp").alias(f"f{c}")) for c in "ab"]
+    apart = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) > FAR_BITS
+    pairs = met.join(fps[0], "a").join(fps[1], "b").where(~apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = stored(pairs, "similar-pairs")
+    forget(met)
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("words")).distinct()
+    own = stored(sketches(docs, size).join(needed, "words", "left_semi").dropDuplicates(["words"]), "similar-sketches")
+    edges = stored(checked(pairs, own, similarity), "similar-edges")
+    for t in (named, pairs, own):
+        forget(t)
     tied = components(edges)
     return rows.select("doc_id", "text_hash", "words").join(tied.withColumnRenamed("node", "words"), "words", "left").select("doc_id", "text_hash", F.coalesce("root", "words").alias("root"))
 
