@@ -26,22 +26,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import forget, held_out, new_path, newest, prepare, stored
+from marlstone.llm.common import forget, held_out, new_path, prepare, stored
 from marlstone.llm.elias_fano import EliasFano
 
 ORDER, MIN_COUNT, DISCOUNT = 3, 2, 0.75
-#: A token that no text can hold.
-END = b"\n"
+#: The hash of a text's end.
+END = np.uint64(0xE4D0E4D0E4D0E4D1)
+#: Bytes hashed together.
+CHUNK_BYTES = 1 << 20
 #: Discounted probabilities are kept as 256 steps of their logarithm down to this.
 FLOOR = -7.0
-#: Tokens a task counts before it packs a run, and words whose ids a task remembers.
-RUN_TOKENS, MEMO_WORDS = 3_000_000, 1_000_000
+#: Keys a task counts before it packs a run.
+RUN_TOKENS = 3_000_000
 #: Trie shards for each shuffle partition.
 SHARDS_PER_PARTITION = 1 / 16
 
@@ -182,42 +184,85 @@ class Trie:
         return out
 
 
-class _Memo(dict):
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
+class _Hasher:
+    """64-bit hashes of the words of a batch, from its bytes at once: sums of letter values times powers of an odd base, of which each word takes a difference and the power of its place divides out."""
+
+    def __init__(self):
+        pick = np.random.default_rng(20)
+        self.letter = pick.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.letter[65:91] = self.letter[97:123]  # A-Z as a-z
+        self.word = np.ones(256, bool)
+        self.word[[9, 10, 11, 12, 13, 32]] = False
+        self.base = int(pick.integers(0, 2**60)) * 8 + 5
+        self.power, self.inverse = np.ones(0, np.uint64), np.ones(0, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        if n > len(self.power):
+            n = max(n, CHUNK_BYTES + 1)
+            tables = []
+            for base in (self.base, pow(self.base, -1, 1 << 64)):
+                t = np.full(n, np.uint64(base))
+                t[0] = 1
+                tables.append(np.cumprod(t, dtype=np.uint64))
+            self.power, self.inverse = tables
+
+    def _cuts(self, data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Chunks that end with a text, or within a long one before a blank."""
+        at, last = int(ends[0]), int(ends[-1])
+        while at < last:
+            cut = int(ends[np.searchsorted(ends, at + CHUNK_BYTES, side="right") - 1])
+            if cut <= at:
+                whole = int(ends[np.searchsorted(ends, at, side="right")])
+                blank = np.flatnonzero(~self.word[data[at + CHUNK_BYTES : whole]][: 1 << 24])
+                cut = at + CHUNK_BYTES + int(blank[0]) if len(blank) else whole
+            yield at, cut
+            at = cut
+
+    def tokens(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of the tokens of all texts in a row, and where each text starts among them."""
+        texts = pc.fill_null(column, "").cast(pa.large_binary())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        found, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for a, b in self._cuts(data, offsets):
+            d = data[a:b]
+            self._grow(len(d) + 1)
+            inside = self.word[d]
+            edge = offsets[(offsets > a) & (offsets < b)] - a
+            begins, ends = inside.copy(), inside.copy()
+            begins[1:] &= ~inside[:-1]
+            ends[:-1] &= ~inside[1:]
+            begins[edge] = inside[edge]
+            ends[edge - 1] = inside[edge - 1]
+            s, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+            upto = np.zeros(len(d) + 1, np.uint64)
+            np.cumsum(self.letter[d] * self.power[: len(d)], out=upto[1:])
+            h = (upto[e] - upto[s]) * self.inverse[s] + (e - s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            found.append(h ^ (h >> np.uint64(32)))
+            places.append(s + a)
+        before = np.searchsorted(np.concatenate(places), offsets)
+        return np.insert(np.concatenate(found), before[1:], END), before[:-1] + np.arange(len(texts))
 
 
 class Tokens:
-    """Tokens of texts as numbers of this task, with the hash, id and count of each distinct one."""
+    """Tokens of a batch as numbers of its distinct ones, with the hash, id and count of each of these."""
 
     def __init__(self, trie: Trie | None):
-        self.trie = trie
-        self.reset()
+        self.trie, self.hasher = trie, _Hasher()
 
-    def reset(self) -> None:
-        self.memo, self.hash, self.id, self.count = _Memo(), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def read(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Token numbers of all texts in a row, and where each text starts."""
-        if len(self.memo) > MEMO_WORDS:
-            self.reset()
-        words: list[bytes] = []
-        starts = []
-        for t in texts:
-            starts.append(len(words))
-            if t:
-                words += t.encode().lower().split()
-            words.append(END)
-        numbers = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
-        if new := len(self.memo) - len(self.hash):
-            h = xxhash.xxh64_intdigest
-            hashes = np.fromiter((h(w) for w in newest(self.memo, new)), np.uint64, new)
-            self.hash = np.concatenate([self.hash, hashes])
-            if self.trie:
-                ids, counts = self.trie.words(hashes)
-                self.id, self.count = np.concatenate([self.id, ids]), np.concatenate([self.count, counts])
-        return numbers, np.array(starts, np.int64)
+        hashes, starts = self.hasher.tokens(column)
+        order = np.argsort(hashes)
+        each = hashes[order]
+        new = np.append(True, each[1:] != each[:-1]) if len(each) else np.zeros(0, bool)
+        self.hash = each[new]
+        numbers = np.empty(len(hashes), np.int64)
+        numbers[order] = np.cumsum(new) - 1
+        if self.trie:
+            self.id, self.count = self.trie.words(self.hash)
+        return numbers, starts
 
 
 def _before(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -277,7 +322,7 @@ def _runs(docs: DataFrame, model: Model | None, level: int, shards: int) -> Data
             return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(runs, pa.binary())], names=["shard", "run"])
 
         for b in batches:
-            numbers, starts = tokens.read(b.column("text").to_pylist())
+            numbers, starts = tokens.read(b.column("text"))
             if trie is None:
                 c = np.bincount(numbers, minlength=len(tokens.hash))
                 met = np.flatnonzero(c)
@@ -416,9 +461,9 @@ def fit(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -> Mode
     return model
 
 
-def score_texts(model: Model, tokens: Tokens, texts: list[str | None]) -> tuple[np.ndarray, ...]:
+def score_texts(model: Model, tokens: Tokens, texts: pa.Array) -> tuple[np.ndarray, ...]:
     """Tokens, known tokens, base score and model score of each text."""
-    if not texts:
+    if not len(texts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
     numbers, starts = tokens.read(texts)
     count, word = tokens.count[numbers], tokens.id[numbers]
@@ -446,7 +491,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         model = shared.value
         tokens = Tokens(model.opened())
         for b in batches:
-            got = score_texts(model, tokens, b.column("text").to_pylist())
+            got = score_texts(model, tokens, b.column("text"))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *map(pa.array, got)], names=[*rest, *added])
 
     schema = docs.select(*rest).schema
