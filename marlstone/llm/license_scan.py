@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import prepare, text_of
+from marlstone.llm.common import least_hashed, prepare, text_of
 
 SAMPLE, VARIANTS, SURE, COVERED = 1500, 24, 0.6, 0.6
 
@@ -148,9 +148,9 @@ def train(paragraphs: list[str], seed: int = 11) -> Model:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Train with the first lines of the ``sample`` documents with the smallest hash of their text."""
+    """Train with the first lines of the ``sample`` documents with the smallest hash of id and first lines."""
     prepare(docs.sparkSession)
-    some = docs.select(text_of().alias("text")).orderBy(F.xxhash64("text"), "text").limit(sample).select(F.explode(F.slice(F.split("text", "\n"), 1, 3)).alias("line")).collect()  # at most 3 * sample lines
+    some = least_hashed(docs.select("doc_id", F.slice(F.split(text_of(), "\n"), 1, 3).alias("lines")), sample, "doc_id", "lines").select(F.explode("lines").alias("line")).collect()  # at most 3 * sample lines
     return train(sorted(r.line for r in some if r.line))
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import held_out, prepare, text_of
+from marlstone.llm.common import held_out, least_hashed, prepare, text_of
 
 BINS, RANK, PER_CLASS, NEIGHBOURS = 2048, 64, 1500, 15
 #: Occurrences that one repetition counts as.
@@ -106,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, folds: i
     )
     share = known.agg(F.avg("label").alias("prior")).first().prior
     texts = docs.select("doc_id", "text")
-    wanted = [known.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for v in (0, 1)]
+    wanted = [least_hashed(known.where(F.col("label") == v), per_class, "doc_id") for v in (0, 1)]
     sample = texts.join(F.broadcast(wanted[0].unionByName(wanted[1])), "doc_id")  # at most 2 * per_class ids
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
