@@ -96,21 +96,21 @@ def mark(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     docs = keyed(docs.drop(*added))
     named_items = stored(items_of(items), "decon-items")
     each = named_items.select("ikey", "item_words").distinct()
-    found = alignments(docs, each, size).join(each, "ikey").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("shift", "item_words", "ikey")).alias("found"))
-    key = found.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "found")
-    joined = docs.join(key, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
-    none = F.array().cast(key.schema["found"].dataType)
-    read = joined.withColumn("all", words_of(text_of()))  # after the join: texts are shuffled, not word lists
-    seen = read.withColumns({"n_words": F.size("all").cast("long"), "hits": _occurrences(F.col("all"), F.coalesce("found", none), size)})
-    covered = F.array_distinct(F.flatten(F.transform("hits", lambda c: F.sequence(c["start"], c["start"] + c["length"] - 1))))
+    found = alignments(docs, each, size).join(each, "ikey").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("shift", "item_words", "ikey")).alias("__found"))
+    key = found.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"), "__found")
+    joined = docs.join(key, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("text_hash") == F.col("__h")), "left")
+    none = F.array().cast(key.schema["__found"].dataType)
+    read = joined.withColumn("__all", words_of(text_of()))  # after the join: texts are shuffled, not word lists
+    seen = read.withColumns({"n_words": F.size("__all").cast("long"), "__hits": _occurrences(F.col("__all"), F.coalesce("__found", none), size)})
+    covered = F.array_distinct(F.flatten(F.transform("__hits", lambda c: F.sequence(c["start"], c["start"] + c["length"] - 1))))
     seen = stored(
-        seen.select(*docs.columns, "n_words", F.size(covered).cast("long").alias("n_hit"), F.array_distinct(F.transform("hits", lambda c: F.struct(c["start"].alias("start"), c["length"].alias("length")))).alias("hit_starts"), F.array_distinct(F.transform("hits", lambda c: c["ikey"])).alias("ikeys")), "decon-seen"
+        seen.select(*docs.columns, "n_words", F.size(covered).cast("long").alias("n_hit"), F.array_distinct(F.transform("__hits", lambda c: F.struct(c["start"].alias("start"), c["length"].alias("length")))).alias("hit_starts"), F.array_distinct(F.transform("__hits", lambda c: c["ikey"])).alias("__ikeys")), "decon-seen"
     )
     named = (
-        seen.select("doc_id", "text_hash", F.explode("ikeys").alias("ikey")).distinct().join(named_items.select("ikey", "item"), "ikey").select("doc_id", "text_hash", "item").distinct()
-        .groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.sort_array(F.collect_list("item")).alias("items"))
+        seen.select("doc_id", "text_hash", F.explode("__ikeys").alias("ikey")).distinct().join(named_items.select("ikey", "item"), "ikey").select("doc_id", "text_hash", "item").distinct()
+        .groupBy(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).agg(F.sort_array(F.collect_list("item")).alias("items"))
     )
-    out = seen.drop("ikeys").join(named, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left").drop("d", "h", "text_hash")
+    out = seen.drop("__ikeys").join(named, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("text_hash") == F.col("__h")), "left").drop("__d", "__h", "text_hash")
     return out.withColumn("items", F.coalesce("items", F.array().cast("array<string>"))).withColumn("n_items", F.size("items").cast("long"))
 
 

@@ -124,12 +124,12 @@ def find(docs: DataFrame) -> DataFrame:
     flat = kept.select("doc_id", "text_hash", F.explode("mentions").alias("m")).select("doc_id", "text_hash", "m.entity", "m.context", F.explode("m.terms").alias("t")).select("doc_id", "text_hash", "entity", "context", "t.*")
     pairs = disclosing(docs, flat)
     more = flat.join(pairs, ["entity", "term"]).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct(F.col("start").cast("int").alias("start"), F.lit(len(KINDS)).alias("kind"), F.col("end").cast("int").alias("end"))).alias("added"))
-    more = more.withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))
+    more = more.withColumnsRenamed({"doc_id": "__d", "text_hash": "__h"})
+    same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("text_hash") == F.col("__h"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    rows = kept.drop("mentions").join(more, same, "left").drop("d", "h")
-    rows = rows.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "base", F.array_sort(F.concat("base", F.coalesce("added", none))).alias("spans"))
-    out = docs.withColumn("text_hash", F.xxhash64(text_of())).join(rows, same, "left").drop("d", "h")
+    rows = kept.drop("mentions").join(more, same, "left").drop("__d", "__h")
+    rows = rows.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"), "base", F.array_sort(F.concat("base", F.coalesce("added", none))).alias("spans"))
+    out = docs.withColumn("text_hash", F.xxhash64(text_of())).join(rows, same, "left").drop("__d", "__h")
     return out.withColumns({"base": F.coalesce("base", none), "spans": F.coalesce("spans", none)})
 
 

@@ -31,6 +31,8 @@ SHINGLE, SIMILARITY, SKETCH = 5, 0.8, 512
 FAR_BITS = 26
 #: Bands of minimum hashes, and hashes in each: 0.9997 of pairs at the similarity of 0.8 agree in some band.
 BANDS, ROWS = 20, 5
+#: And further bands of more hashes, which part large families whose members are mostly less alike than that.
+FINE_BANDS, FINE_ROWS = 30, 9
 #: Members of a group that is no large one, and how many next ones each is tied to there.
 FEW, NEXT = 64, 8
 RUN_ROWS = 2_000_000
@@ -38,7 +40,7 @@ RUN_ROWS = 2_000_000
 _ENTRY = ("<u8", "<i8", "<i4")
 
 
-_TURNS = np.random.default_rng(7).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+_TURNS = np.random.default_rng(7).integers(0, 2**63, BANDS * ROWS + FINE_BANDS * FINE_ROWS, dtype=np.uint64) | np.uint64(1)
 
 
 def bands(hashes: np.ndarray) -> np.ndarray:
@@ -46,16 +48,19 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     if not len(hashes):
         return hashes
     least = np.full(len(_TURNS), ~np.uint64(0))
-    for i in range(0, len(hashes), 1024):
-        part = hashes[i : i + 1024]
+    for i in range(0, len(hashes), 256):
+        part = hashes[i : i + 256]
         part = part ^ (part >> np.uint64(31))
         least = np.minimum(least, (part[None, :] * _TURNS[:, None]).min(axis=1))
-    least = (least >> np.uint64(16)).reshape(BANDS, ROWS)
-    key = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
-    for r in range(ROWS):
-        key = (key ^ least[:, r]) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(32)
-    return key
+    least, coarse = least >> np.uint64(16), BANDS * ROWS
+    out = []
+    for n, part in ((BANDS, least[:coarse].reshape(BANDS, ROWS)), (FINE_BANDS, least[coarse:].reshape(FINE_BANDS, FINE_ROWS))):
+        key = np.arange(n, dtype=np.uint64) + np.uint64(len(out) * BANDS + 1)
+        for column in part.T:
+            key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(32)
+        out.append(key)
+    return np.concatenate(out)
 
 
 def words_hash(words: list[bytes]) -> int:
@@ -250,9 +255,9 @@ def groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY)
 def keep_one(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without all but one document of each near-duplicate group."""
     member = stored(groups(docs, size, similarity), "similar-groups")
-    chosen = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("m")).select(F.col("m.doc_id").alias("d"), F.col("m.text_hash").alias("h"))
-    rows = docs.withColumn("_h", F.xxhash64(text_of()))
-    kept = rows.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("d")) & (F.col("_h") == F.col("h")), "left_semi")
+    chosen = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("m")).select(F.col("m.doc_id").alias("__d"), F.col("m.text_hash").alias("__h"))
+    rows = docs.withColumn("__t", F.xxhash64(text_of()))
+    kept = rows.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__h")), "left_semi")
     if not member.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "_h"])
-    return kept.drop("_h")
+        kept = kept.dropDuplicates(["doc_id", "__t"])
+    return kept.drop("__t")

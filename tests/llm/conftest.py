@@ -11,8 +11,8 @@ def _prepared(spark):
 @pytest.fixture
 def documents(spark):
     def made(rows):
-        """Rows of (doc_id, text), with a column whose name clashes with what operators add."""
-        return spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, score string")
+        """Rows of (doc_id, text), with columns whose names clash with what operators add or use."""
+        return spark.createDataFrame([(d, t, "x", 1, 2, 3, 4, 5) for d, t in rows], "doc_id long, text string, score string, d int, h int, found int, all int, words int")
 
     return made
 
