@@ -238,17 +238,26 @@ def groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY)
     near = links(named.select("fp")).join(named.select(F.col("fp").alias("a"), F.col("w").alias("wa")), "a").join(named.select(F.col("fp").alias("b"), F.col("w").alias("wb")), "b").select(F.col("wa").alias("a"), F.col("wb").alias("b"))
     same = classes.join(named, "fp").where("words <> w").select(F.col("w").alias("a"), F.col("words").alias("b"))
     met = stored(candidates(docs, size, similarity).unionByName(near).unionByName(same), "similar-met")
-    fps = [classes.select(F.col("words").alias(c), F.col("fp").alias(f"f{c}")) for c in "ab"]
-    apart = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) > FAR_BITS
-    pairs = met.join(fps[0], "a").join(fps[1], "b").where(~apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = stored(pairs, "similar-pairs")
+    pairs = stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-pairs")
     forget(met)
+    fps = [classes.select(F.col("words").alias(c), F.col("fp").alias(f"f{c}")) for c in "ab"]
+
+    def near_enough(some: DataFrame) -> DataFrame:
+        apart = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) > FAR_BITS
+        return stored(some.join(fps[0], "a").join(fps[1], "b").where(~apart).select("a", "b"), "similar-near")
+
     needed = pairs.select(F.explode(F.array("a", "b")).alias("words")).distinct()
     own = stored(sketches(docs, size).join(needed, "words", "left_semi").dropDuplicates(["words"]), "similar-sketches")
-    edges = stored(checked(pairs, own, similarity), "similar-edges")
+    # a quarter of the pairs first: of the others only those that are not in one component by then need a check
+    early = F.pmod(F.xxhash64("a", "b"), F.lit(4)) == 0
+    edges = stored(checked(near_enough(pairs.where(early)), own, similarity), "similar-edges")
+    tied = stored(components(edges), "similar-tied")
+    ra, rb = (tied.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+    open_ = pairs.where(~early).join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    more = stored(checked(near_enough(open_), own, similarity), "similar-more")
     for t in (named, pairs, own):
         forget(t)
-    tied = components(edges)
+    tied = components(edges.unionByName(more))
     return rows.select("doc_id", "text_hash", "words").join(tied.withColumnRenamed("node", "words"), "words", "left").select("doc_id", "text_hash", F.coalesce("root", "words").alias("root"))
 
 
