@@ -5,7 +5,7 @@ reach texts of similarity 0.97 or so. So the stage adds prefix filtering: in any
 Each shingle's documents, by size classes one threshold apart, are tied to the first of their class and of the class below in an order that the shingle shuffles: a star instead of all pairs, so that groups of
 any size cost two lines for each member, with another center for each of the many shingles that two similar texts share. Texts whose common shingles are all very common ones would meet too many others as
 centers; bands of minimum hashes are keys beside the shingles, whose groups are alike throughout, and in groups of up to ``FEW`` each member is tied to the next ``NEXT`` as well.
-Pairs whose SimHashes are further apart than any such pair's are dropped, and the rest is checked: by whole shingle sets up to ``SKETCH`` shingles, and beyond by the least ``SKETCH`` hashes of their union (standard error below 0.02).
+All of these pairs are checked: by whole shingle sets up to ``SKETCH`` shingles, and beyond by the least ``SKETCH`` hashes of their union (standard error below 0.02).
 
 Texts with the same words are one class (known by a 64-bit hash of the words) from the start. A component's document with the smallest id stays; null ids stay only where there is no other. Of rows equal in id and text one stays. Null and
 empty texts are one class. An empty table gives no rows. Extra columns stay.
@@ -27,8 +27,6 @@ from marlstone.llm.simhash import components, fingerprint, links, shingle_hashes
 from marlstone.llm.substring_dedup import _pack, _unpack
 
 SHINGLE, SIMILARITY, SKETCH = 5, 0.8, 512
-#: SimHash bits in which texts of the similarity never differ: at 0.8 the mean is 9.7 and the standard deviation 2.9, six of which are allowed for.
-FAR_BITS = 26
 #: Bands of minimum hashes, and hashes in each: 0.9997 of pairs at the similarity of 0.8 agree in some band.
 BANDS, ROWS = 20, 5
 #: And further bands of more hashes, which part large families whose members are mostly less alike than that.
@@ -240,21 +238,15 @@ def groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY)
     met = stored(candidates(docs, size, similarity).unionByName(near).unionByName(same), "similar-met")
     pairs = stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-pairs")
     forget(met)
-    fps = [classes.select(F.col("words").alias(c), F.col("fp").alias(f"f{c}")) for c in "ab"]
-
-    def near_enough(some: DataFrame) -> DataFrame:
-        apart = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) > FAR_BITS
-        return stored(some.join(fps[0], "a").join(fps[1], "b").where(~apart).select("a", "b"), "similar-near")
-
     needed = pairs.select(F.explode(F.array("a", "b")).alias("words")).distinct()
     own = stored(sketches(docs, size).join(needed, "words", "left_semi").dropDuplicates(["words"]), "similar-sketches")
     # a quarter of the pairs first: of the others only those that are not in one component by then need a check
     early = F.pmod(F.xxhash64("a", "b"), F.lit(4)) == 0
-    edges = stored(checked(near_enough(pairs.where(early)), own, similarity), "similar-edges")
+    edges = stored(checked(pairs.where(early), own, similarity), "similar-edges")
     tied = stored(components(edges), "similar-tied")
     ra, rb = (tied.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
     open_ = pairs.where(~early).join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    more = stored(checked(near_enough(open_), own, similarity), "similar-more")
+    more = stored(checked(open_, own, similarity), "similar-more")
     for t in (named, pairs, own):
         forget(t)
     tied = components(edges.unionByName(more))

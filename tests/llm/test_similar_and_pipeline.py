@@ -75,3 +75,22 @@ def test_pipeline_stages(spark, tmp_path):
     assert {i for i in range(60)} <= set(out) and not set(range(100, 160)) & set(out) and 201 not in out and 203 not in out and 204 in out
     assert all(r.same and r.n_pieces == len(r.ids) for r in out.values())
     assert [len(corpus_pipeline.STAGES), corpus_pipeline.ORACLE_SQL] == [5, None]
+
+
+def made_words(pick, n):
+    return ["".join(pick.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+
+
+def pairs_grouped(got, pairs):
+    root = {r.doc_id: r.root for r in got.collect()}
+    return [root[a] == root[b] for a, b in pairs]
+
+
+def test_repeats_of_one_line_do_not_part_texts(documents):
+    pick = random.Random(21)
+    rows = []
+    for i in range(8):
+        base = " ".join(made_words(pick, 300))
+        rows += [(2 * i, f"{base} {'same ' * 6}"), (2 * i + 1, f"{base} {'same ' * 400}")]
+    assert all(sets_of(rows[2 * i][1]) == sets_of(rows[2 * i + 1][1]) for i in range(8))
+    assert all(pairs_grouped(M.groups(documents(rows)), [(2 * i, 2 * i + 1) for i in range(8)]))
