@@ -5,7 +5,8 @@ reach texts of similarity 0.97 or so. So the stage adds prefix filtering: in any
 Each shingle's documents, by size classes one threshold apart, are tied to the first of their class and of the class below in an order that the shingle shuffles: a star instead of all pairs, so that groups of
 any size cost two lines for each member, with another center for each of the many shingles that two similar texts share. Texts whose common shingles are all very common ones would meet too many others as
 centers; bands of minimum hashes are keys beside the shingles, whose groups are alike throughout, and in groups of up to ``FEW`` each member is tied to the next ``NEXT`` as well.
-All of these pairs are checked: by whole shingle sets up to ``SKETCH`` shingles, and beyond by the least ``SKETCH`` hashes of their union (standard error below 0.02).
+All of these pairs are checked: by whole shingle sets up to ``SKETCH`` shingles, and beyond by the least ``SKETCH`` hashes of their union
+(standard error below 0.02) where that leaves no doubt; pairs whose estimate lies within ``DOUBT`` of the threshold are compared by their whole sets as well.
 
 Texts with the same words are one class (known by a 64-bit hash of the words) from the start. A component's document with the smallest id stays; null ids stay only where there is no other. Of rows equal in id and text one stays. Null and
 empty texts are one class. An empty table gives no rows. Extra columns stay.
@@ -27,6 +28,10 @@ from marlstone.llm.simhash import components, fingerprint, links, shingle_hashes
 from marlstone.llm.substring_dedup import _pack, _unpack
 
 SHINGLE, SIMILARITY, SKETCH = 5, 0.8, 512
+#: Six standard errors of an estimate at the threshold, 0.106, rounded up.
+DOUBT = 0.11
+#: Up to so many texts are picked by a broadcast of their hashes.
+MAX_BROADCAST_ROWS = 500_000
 #: Bands of minimum hashes, and hashes in each: 0.9997 of pairs at the similarity of 0.8 agree in some band.
 BANDS, ROWS = 20, 5
 #: And further bands of more hashes, which part large families whose members are mostly less alike than that.
@@ -211,18 +216,52 @@ def candidates(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     return packed.mapInArrow(lambda it: by_share(it, opened), "a long, b long")
 
 
-def checked(pairs: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose shingles are similar enough. ``own``: (words, n, sketch), each words once."""
+def whole_sets(docs: DataFrame, rows: DataFrame, needed: DataFrame, size: int) -> DataFrame:
+    """(words, whole) for the word hashes in ``needed``: all their distinct shingle hashes, sorted. ``rows``: (doc_id, text_hash, words)."""
+    chosen = stored(rows.join(needed, "words", "left_semi").groupBy("words").agg(F.min("text_hash").alias("__h")).select("__h").distinct(), "similar-chosen")
+    chosen = F.broadcast(chosen) if chosen.count() <= MAX_BROADCAST_ROWS else chosen
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [words_of(t) for t in b.column("text").to_pylist()]
+            own = np.array([words_hash(w) for w in words], np.uint64).view(np.int64)
+            sets = [np.unique(shingle_hashes(w, size), return_counts=True)[0].tobytes() for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(sets, pa.binary())], names=["words", "whole"])
+
+    picked = docs.withColumn("__h", F.xxhash64(text_of())).join(chosen, "__h", "left_semi").select("text")
+    return picked.mapInArrow(made, "words long, whole binary").dropDuplicates(["words"])
+
+
+def checked(pairs: DataFrame, own: DataFrame, docs: DataFrame, rows: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs whose shingles are similar enough. ``own``: (words, n, sketch), each words once; ``rows``: (doc_id, text_hash, words) of ``docs``."""
     left, right = (own.select(F.col("words").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
     both = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb"))
 
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = list(zip(*(b.column(c).to_pylist() for c in ("sa", "sb", "na", "nb")), strict=True))
+            likeness = np.array([jaccard(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), n, m) for x, y, n, m in rows], float)
+            doubt = np.array([max(n, m) > SKETCH for _, _, n, m in rows], bool) & (np.abs(likeness - similarity) <= DOUBT)
+            out = pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(doubt)], names=["a", "b", "doubt"])
+            yield out.filter(pa.array(doubt | (likeness >= similarity - 1e-9)))
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = zip(*(b.column(c).to_pylist() for c in ("sa", "sb", "na", "nb")), strict=True)
-            good = [jaccard(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), n, m) >= similarity - 1e-9 for x, y, n, m in rows]
+            good = []
+            for x, y in zip(b.column("wa").to_pylist(), b.column("wb").to_pylist(), strict=True):
+                n, m = len(x) // 8, len(y) // 8
+                shared = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                good.append(shared / (n + m - shared) >= similarity - 1e-9)
             yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(kept, "a long, b long")
+    seen = stored(both.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(judged, "a long, b long, doubt boolean"), "similar-judged")
+    sure, doubtful = seen.where(~F.col("doubt")).select("a", "b"), seen.where("doubt").select("a", "b")
+    if doubtful.isEmpty():
+        return sure
+    needed = doubtful.select(F.explode(F.array("a", "b")).alias("words")).distinct()
+    whole = stored(whole_sets(docs, rows, needed, size), "similar-whole")
+    left, right = (whole.select(F.col("words").alias(c), F.col("whole").alias(f"w{c}")) for c in "ab")
+    return sure.unionByName(doubtful.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(compared, "a long, b long"))
 
 
 def groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -242,11 +281,11 @@ def groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY)
     own = stored(sketches(docs, size).join(needed, "words", "left_semi").dropDuplicates(["words"]), "similar-sketches")
     # a quarter of the pairs first: of the others only those that are not in one component by then need a check
     early = F.pmod(F.xxhash64("a", "b"), F.lit(4)) == 0
-    edges = stored(checked(pairs.where(early), own, similarity), "similar-edges")
+    edges = stored(checked(pairs.where(early), own, docs, rows, size, similarity), "similar-edges")
     tied = stored(components(edges), "similar-tied")
     ra, rb = (tied.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
     open_ = pairs.where(~early).join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    more = stored(checked(open_, own, similarity), "similar-more")
+    more = stored(checked(open_, own, docs, rows, size, similarity), "similar-more")
     for t in (named, pairs, own):
         forget(t)
     tied = components(edges.unionByName(more))

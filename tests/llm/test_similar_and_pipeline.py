@@ -94,3 +94,18 @@ def test_repeats_of_one_line_do_not_part_texts(documents):
         rows += [(2 * i, f"{base} {'same ' * 6}"), (2 * i + 1, f"{base} {'same ' * 400}")]
     assert all(sets_of(rows[2 * i][1]) == sets_of(rows[2 * i + 1][1]) for i in range(8))
     assert all(pairs_grouped(M.groups(documents(rows)), [(2 * i, 2 * i + 1) for i in range(8)]))
+
+
+def test_long_texts_near_the_threshold(documents):
+    pick = random.Random(22)
+    rows, similar = [], []
+    for i in range(12):
+        base, changed = made_words(pick, 3000), 66 + i % 2  # 66 words that stand apart leave 0.8016, 67 leave 0.7989
+        other = list(base)
+        for j in range(changed):
+            other[20 + 44 * j] = made_words(pick, 1)[0] + "z"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+        a, b = sets_of(rows[-2][1]), sets_of(rows[-1][1])
+        similar.append(len(a & b) / len(a | b) >= M.SIMILARITY)
+    assert similar == [True, False] * 6
+    assert pairs_grouped(M.groups(documents(rows)), [(2 * i, 2 * i + 1) for i in range(12)]) == similar
