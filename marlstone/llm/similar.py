@@ -5,6 +5,8 @@ reach texts of similarity 0.97 or so. So the stage adds prefix filtering: in any
 Each shingle's documents, by size classes one threshold apart, are tied to the first of their class and of the class below in an order that the shingle shuffles: a star instead of all pairs, so that groups of
 any size cost two lines for each member, with another center for each of the many shingles that two similar texts share. Texts whose common shingles are all very common ones would meet too many others as
 centers; bands of minimum hashes are keys beside the shingles, whose groups are alike throughout, and in groups of up to ``FEW`` each member is tied to the next ``NEXT`` as well.
+These stars and the SimHash forest only make components early; they need not be complete. A prefix join then adds every pair of different components that shares a prefix shingle and whose sizes and places allow the similarity,
+in an order that puts shingles common in a sample last (any order is exact), so that the groups stay small.
 All of these pairs are checked: by whole shingle sets up to ``SKETCH`` shingles, and beyond by the least ``SKETCH`` hashes of their union
 (standard error below 0.02) where that leaves no doubt; pairs whose estimate lies within ``DOUBT`` of the threshold are compared by their whole sets as well.
 
@@ -39,6 +41,8 @@ FINE_BANDS, FINE_ROWS = 30, 9
 #: Members of a group that is no large one, and how many next ones each is tied to there.
 FEW, NEXT = 64, 8
 RUN_ROWS = 2_000_000
+#: Texts sampled for the common shingles, how many of them must hold one, and how many shingles are told apart as common.
+SAMPLE, COMMON, MOST_COMMON = 10_000, 5, 200_000
 
 _ENTRY = ("<u8", "<i8", "<i4")
 
@@ -106,17 +110,17 @@ def marks(docs: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(made, "doc_id long, text_hash long, words long, fp long")
 
 
-def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """(words, n, sketch) for each row of ``docs``."""
+def sketches(docs: DataFrame, size: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(words, n, sketch, prefix) for each row of ``docs``; the prefix is in the order that ``common`` makes."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words = [words_of(t) for t in b.column("text").to_pylist()]
             sets = [np.unique(shingle_hashes(w, size), return_counts=True)[0] for w in words]
             own = np.array([words_hash(w) for w in words], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([len(x) for x in sets], pa.int32()), pa.array([sketch(x).tobytes() for x in sets], pa.binary())], names=["words", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([len(x) for x in sets], pa.int32()), pa.array([sketch(x).tobytes() for x in sets], pa.binary()), pa.array([prefix(in_order(x, common), similarity).tobytes() for x in sets], pa.binary())], names=["words", "n", "sketch", "prefix"])
 
-    return docs.select("text").mapInArrow(made, "words long, n int, sketch binary")
+    return docs.select("text").mapInArrow(made, "words long, n int, sketch binary, prefix binary")
 
 
 def _packed_pairs(a: np.ndarray, b: np.ndarray, shares: int) -> pa.RecordBatch:
@@ -216,6 +220,129 @@ def candidates(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     return packed.mapInArrow(lambda it: by_share(it, opened), "a long, b long")
 
 
+def common_shingles(docs: DataFrame, total: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles common in a sample of the texts, and their ranks from 1, the most common last. Any order of shingles makes an exact join; this one makes its groups small."""
+    place = F.pmod(F.xxhash64(text_of()), F.lit(max(1, total // SAMPLE)))
+    few = docs.where(place == 0).select("text").distinct()
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(words_of(t), size)) for t in b.column("text").to_pylist()]
+            h, n = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]).astype(np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    counts = few.mapInArrow(made, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    t = counts.orderBy(F.desc("n"), "h").limit(MOST_COMMON).toArrow()
+    h = t.column("h").to_numpy().astype(np.int64).view(np.uint64)
+    rank = np.arange(len(h), 0, -1, dtype=np.int64)
+    order = np.argsort(h)
+    return h[order], rank[order]
+
+
+def in_order(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Sorted hashes by rank, those of no rank first."""
+    if not len(common[0]) or not len(hashes):
+        return hashes
+    at = np.minimum(np.searchsorted(common[0], hashes), len(common[0]) - 1)
+    return hashes[np.argsort(np.where(common[0][at] == hashes, common[1][at], 0), kind="stable")]
+
+
+def group_pairs(key: np.ndarray, words: np.ndarray, root: np.ndarray, n: np.ndarray, pos: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of different roots within each key whose sizes and places allow the similarity when the key is the first shingle they share."""
+
+    def able(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        most = 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1
+        return (root[i] != root[j]) & (most >= similarity / (1 + similarity) * (n[i] + n[j]) - 1e-6) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6)
+
+    edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    size = np.diff(edge, append=len(key))
+    held, many = [], 0
+    small = np.repeat(size <= FEW, size)
+    for hop in range(1, FEW):
+        i = np.flatnonzero(small[:-hop] & (key[:-hop] == key[hop:])) if hop < len(key) else edge[:0]
+        if not len(i):
+            break
+        i = i[able(i, i + hop)]
+        held.append((words[i], words[i + hop]))
+    for start, count in zip(edge[size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
+        member = np.arange(start, start + count)
+        names, of, each = np.unique(root[member], return_inverse=True, return_counts=True)
+        if len(names) == 1:
+            continue
+        # two members of the largest root never need a check: the others against all
+        main = of == np.argmax(each)
+        others, rest = member[~main], member[main]
+        for k, x in enumerate(others.tolist()):
+            y = np.concatenate([rest, others[k + 1 :]])
+            y = y[able(np.full(len(y), x), y)]
+            held.append((np.full(len(y), words[x]), words[y]))
+            many += len(y)
+            if many >= RUN_ROWS:
+                yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+                held, many = [], 0
+    if held:
+        yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+
+
+def remaining(own: DataFrame, tied: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) of different roots that can have the similarity: the exact prefix join. ``own``: (words, n, prefix), ``tied``: (node, root)."""
+    parts = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kinds = ("<u8", "<i8", "<i8", "<i4", "<i4")
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many = [], 0
+
+        def flush() -> pa.RecordBatch:
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            to = ((columns[0] >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            columns, cuts = [c[order] for c in columns], np.searchsorted(to[order], np.arange(parts + 1))
+            rows = [(s, _pack(*(c[cuts[s] : cuts[s + 1]] for c in columns))) for s in range(parts) if cuts[s] < cuts[s + 1]]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["share", "run"])
+
+        for b in batches:
+            for words, root, n, first in zip(*(b.column(c).to_pylist() for c in ("words", "root", "n", "prefix")), strict=True):
+                key = np.frombuffer(first, np.uint64)
+                m = len(key)
+                held.append((key, np.full(m, words, np.int64), np.full(m, root, np.int64), np.full(m, n, np.int32), np.arange(m, dtype=np.int32)))
+                many += m
+            if many >= RUN_ROWS:
+                yield flush()
+                held, many = [], 0
+        if many:
+            yield flush()
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+        now, runs = None, []
+        for b in batches:
+            for share, run in zip(b.column("share").to_pylist(), b.column("run").to_pylist(), strict=True):
+                if share != now and runs:
+                    yield runs
+                    runs = []
+                now = share
+                runs.append(run)
+        if runs:
+            yield runs
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for runs in shares(batches):
+            columns = [np.concatenate(c) for c in zip(*(_unpack(r, kinds) for r in runs), strict=True)]
+            order = np.argsort(columns[0], kind="stable")
+            for x, y in group_pairs(*(c[order] for c in columns), similarity):
+                yield _packed_pairs(np.minimum(x, y), np.maximum(x, y), parts)
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for runs in shares(batches):
+            a, b = (np.concatenate(x) for x in zip(*(_unpack(r, ("<i8", "<i8")) for r in runs), strict=True))
+            pairs = np.unique(np.stack([a, b], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    named = own.select("words", "n", "prefix").join(tied.withColumnRenamed("node", "words"), "words", "left").withColumn("root", F.coalesce("root", "words"))
+    runs = named.mapInArrow(dealt, "share int, run binary").repartition(parts, "share").sortWithinPartitions("share")
+    packed = runs.mapInArrow(joined, "share int, run binary").repartition(parts, "share").sortWithinPartitions("share")
+    return packed.mapInArrow(opened, "a long, b long")
+
+
 def whole_sets(docs: DataFrame, rows: DataFrame, needed: DataFrame, size: int) -> DataFrame:
     """(words, whole) for the word hashes in ``needed``: all their distinct shingle hashes, sorted. ``rows``: (doc_id, text_hash, words)."""
     chosen = stored(rows.join(needed, "words", "left_semi").groupBy("words").agg(F.min("text_hash").alias("__h")).select("__h").distinct(), "similar-chosen")
@@ -277,8 +404,8 @@ def groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY)
     met = stored(candidates(docs, size, similarity).unionByName(near).unionByName(same), "similar-met")
     pairs = stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-pairs")
     forget(met)
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("words")).distinct()
-    own = stored(sketches(docs, size).join(needed, "words", "left_semi").dropDuplicates(["words"]), "similar-sketches")
+    common = common_shingles(docs, rows.count(), size)
+    own = stored(sketches(docs, size, similarity, common).dropDuplicates(["words"]), "similar-sketches")
     # a quarter of the pairs first: of the others only those that are not in one component by then need a check
     early = F.pmod(F.xxhash64("a", "b"), F.lit(4)) == 0
     edges = stored(checked(pairs.where(early), own, docs, rows, size, similarity), "similar-edges")
@@ -286,9 +413,15 @@ def groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY)
     ra, rb = (tied.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
     open_ = pairs.where(~early).join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
     more = stored(checked(open_, own, docs, rows, size, similarity), "similar-more")
-    for t in (named, pairs, own):
+    forget(pairs)
+    tied = stored(components(edges.unionByName(more)), "similar-tied")
+    # what the stars missed: all other pairs that the prefixes allow
+    last = stored(remaining(own, tied, similarity), "similar-last")
+    found = stored(checked(last, own, docs, rows, size, similarity), "similar-found")
+    for t in (named, last, own):
         forget(t)
-    tied = components(edges.unionByName(more))
+    if not found.isEmpty():
+        tied = components(edges.unionByName(more).unionByName(found))
     return rows.select("doc_id", "text_hash", "words").join(tied.withColumnRenamed("node", "words"), "words", "left").select("doc_id", "text_hash", F.coalesce("root", "words").alias("root"))
 
 

@@ -109,3 +109,23 @@ def test_long_texts_near_the_threshold(documents):
         similar.append(len(a & b) / len(a | b) >= M.SIMILARITY)
     assert similar == [True, False] * 6
     assert pairs_grouped(M.groups(documents(rows)), [(2 * i, 2 * i + 1) for i in range(12)]) == similar
+
+
+def test_few_similar_partners_in_a_large_family(documents):
+    pick = random.Random(23)
+    base = made_words(pick, 500)
+
+    def changed(slots):
+        w = list(base)
+        for s in slots:
+            w[5 * s + 2] = made_words(pick, 1)[0] + "z"
+        return " ".join(w)
+
+    rows, pairs = [(i, changed(pick.sample(range(100), 8))) for i in range(1200)], []
+    for i in range(10):
+        slots = pick.sample(range(100), 11)
+        rows += [(2000 + 2 * i, changed(slots[:8])), (2001 + 2 * i, changed(slots[3:]))]
+        pairs.append((2000 + 2 * i, 2001 + 2 * i))
+        a, b = sets_of(rows[-2][1]), sets_of(rows[-1][1])
+        assert len(a & b) / len(a | b) >= M.SIMILARITY
+    assert all(pairs_grouped(M.groups(documents(rows)), pairs))
