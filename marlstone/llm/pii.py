@@ -5,9 +5,9 @@ what it leaves between. The patterns are the contract's, with possessive repetit
 no recursion on long runs.
 
 Information-theoretic sanitisation: around each base span stand up to ``CONTEXT`` terms on either side. For an entity (the span's kind and value) and a term, the corpus
-gives p(entity | term) = different texts with both side by side / occurrences of the term in all documents. The term's pointwise mutual information with the entity is log p(entity | term) / p(entity); where it
+gives p(entity | term) = different texts with both side by side / different texts that hold the term. The term's pointwise mutual information with the entity is log p(entity | term) / p(entity); where it
 leaves at most ``MAX_BITS`` of the entity's own information, -log p(entity), hidden, and at least ``SUPPORT`` texts bear it out, the term discloses the entity and is
-removed beside it as well (kind ``term``). A surrounding passage counts once, however often it is copied.
+removed beside it as well (kind ``term``). A surrounding passage counts once in both numbers, however often it is copied.
 
 Documents are known by (doc_id, hash of the text). Null texts are empty and have no spans. Positions count code points. Empty tables give no rows. Extra columns
 stay, except those that are added.
@@ -103,16 +103,17 @@ def disclosing(docs: DataFrame, mentions: DataFrame, support: int = SUPPORT, max
     """(entity, term) pairs beyond the disclosure threshold. ``mentions``: (entity, context, term, text_hash)."""
     once = mentions.groupBy("entity", "term", "context").agg(F.min("text_hash").alias("text_hash")).select("entity", "term", "text_hash").distinct()
     pairs = once.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
-    pairs = stored(pairs, "pii-pairs")
+    beside = mentions.select("entity", "term", "text_hash").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("raw"))
+    pairs = stored(pairs.join(beside, ["entity", "term"]), "pii-pairs")
     terms = pairs.select("term").distinct()
     n = terms.count()
-    tokens = docs.select(F.explode(F.split(F.lower(text_of()), r"[^\p{L}]+", -1)).alias("term"))
-    if n <= MAX_BROADCAST_ROWS:
-        counts = tokens.join(F.broadcast(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("all"))
-    else:
-        counts = tokens.groupBy("term").agg(F.count(F.lit(1)).alias("all")).join(terms, "term")
+    tokens = docs.select(F.xxhash64(text_of()).alias("text_hash"), F.explode(F.array_distinct(F.split(F.lower(text_of()), r"[^\p{L}]+", -1))).alias("term"))
+    held = tokens.join(F.broadcast(terms) if n <= MAX_BROADCAST_ROWS else terms, "term", "left_semi").distinct()
+    counts = held.groupBy("term").agg(F.count(F.lit(1)).alias("texts"))
+    # the texts in which a passage is copied are one here too
+    pairs = pairs.join(counts, "term").withColumn("all", F.col("texts") - F.col("raw") + F.col("both"))
     hidden = -F.log2(F.col("both") / F.col("all"))  # the entity's information less what the term tells of it
-    return pairs.join(counts, "term").where(hidden <= max_bits).select("entity", "term")
+    return pairs.where(hidden <= max_bits).select("entity", "term")
 
 
 def find(docs: DataFrame) -> DataFrame:

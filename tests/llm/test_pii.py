@@ -65,3 +65,14 @@ def test_empty_and_plan(documents):
     assert pii.find(documents([])).count() == 0
     plan = pii.found_in(documents([(1, "x")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_copied_passages_do_not_hide_a_term(documents, revealing):
+    pick = random.Random(4)
+    noise = lambda n: " ".join("".join(pick.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    passage = f"{noise(40)} gardener Zebulon wrote to zeb@farm.example today {noise(40)}"
+    rows = [(200 + i, f"{passage} {noise(5)}") for i in range(30)] + [*revealing[:2], *revealing[6:]]
+    rows += [(300, f"{noise(40)} gardener Zebulon wrote to zeb@farm.example today {noise(40)} {'Zebulon ' * 50}")]
+    for r in pii.find(documents(rows)).collect():
+        terms = [r.text[s.start : s.end] for s in r.spans if s.kind == 4]
+        assert ("Zebulon" in terms) == (not 100 <= r.doc_id < 200) and "gardener" not in terms
