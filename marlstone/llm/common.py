@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -35,7 +36,7 @@ def _ship(spark: SparkSession) -> None:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Session settings the operators rely on. Shuffle files go when the query that wrote them ends: what is kept between steps is in stored tables."""
+    """Session settings the operators rely on, which stay set: bounded Arrow batches, and shuffle files that go when the query that wrote them ends, since what is kept between steps is in stored tables."""
     _ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
@@ -43,16 +44,37 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share; only where the session names none (tests on one machine), a temporary one."""
+    """The folder all machines share; only where the session names none and runs on one machine, as in tests, a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = os.path.join(tempfile.gettempdir(), f"marlstone-{os.getuid()}")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+_made: set[str] = set()
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.add(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Delete all that the operators have left in the shared folder since the last call; results not read or written by then are lost. The number of tables."""
+    paths = list(_made)
+    for path in paths:
+        _delete(spark, path)
+        _made.discard(path)
+    return len(paths)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -64,10 +86,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 def forget(df: DataFrame) -> None:
     """Delete a stored table that nothing reads any more."""
-    spark = df.sparkSession
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
 
 
 def newest(entries: dict, n: int) -> list:
