@@ -1,77 +1,76 @@
-"""Near-duplicate groups by shingle similarity, as the pipeline takes them: SimHash links and the candidates that a fingerprint misses, all checked on the shingles.
-
-Texts that share 0.8 of their word shingles differ in some 9 bits of a 64-bit SimHash and up to 14, a radius for which covering masks number 32,767; the two bits that covering finds at little cost
-reach texts of similarity 0.97 or so. So the stage adds prefix filtering: in any fixed order of shingles, two sets with Jaccard similarity of at least ``SIMILARITY`` share one of their first ``n - ceil(SIMILARITY * n) + 1``.
-Each shingle's documents, by size classes one threshold apart, are tied to the first of their class and of the class below in an order that the shingle shuffles: a star instead of all pairs, so that groups of
-any size cost two lines for each member, with another center for each of the many shingles that two similar texts share. Texts whose common shingles are all very common ones would meet too many others as
-centers; bands of minimum hashes are keys beside the shingles, whose groups are alike throughout, and in groups of up to ``FEW`` each member is tied to the next ``NEXT`` as well.
-These stars and the SimHash forest only make components early; they need not be complete. A prefix join then adds every pair of different components that shares a prefix shingle and whose sizes and places allow the similarity,
-in an order that puts shingles common in a sample last (any order is exact), so that the groups stay small.
-All of these pairs are checked: by whole shingle sets up to ``SKETCH`` shingles, and beyond by the least ``SKETCH`` hashes of their union
-(standard error below 0.02) where that leaves no doubt; pairs whose estimate lies within ``DOUBT`` of the threshold are compared by their whole sets as well.
-
-Texts with the same words are one class (known by a 64-bit hash of the words) from the start. A component's document with the smallest id stays; null ids stay only where there is no other. Of rows equal in id and text one stays. Null and
-empty texts are one class. An empty table gives no rows. Extra columns stay.
+"""Near-duplicate groups by shingle similarity, as the pipeline takes them: SimHash links first, then everything a fingerprint misses, all decided on whole shingle sets.
+
+Two texts are similar if their sets of five-word shingles (64-bit names) have a Jaccard similarity of ``SIMILARITY`` or more, at any length; groups are the components. Texts that share 0.8 of their shingles differ in some
+9 bits of a 64-bit SimHash and up to 14, a radius for which covering masks number 32,767; the two bits that covering finds at little cost reach texts of similarity 0.97 or so. The rest comes from prefix
+filtering: in any fixed order of shingles, two similar sets share one of their first ``n - ceil(SIMILARITY * n) + 1``. The order puts shingles that are common in a sample of the texts last (any order is exact), so that few texts meet at a shingle.
+
+Four rounds, in which pairs that are in one component already are left out:
+
+1. the SimHash links, and stars at a few of each text's prefix shingles: a member of a shingle's group is tied to the first of its size class and of the class below, in an order that the shingle shuffles;
+2. stars at some more;
+3. stars at all prefix shingles;
+4. all pairs at all prefix shingles whose sizes and places allow the similarity. This round is exact by itself; those before leave it little to do, also in families of thousands.
+
+A pair is refused without its sets only by proof: *odd sketches* (a bit for each slot, flipped by each shingle that falls there) differ in no more bits than the sets do in shingles. All others are compared by their whole sets.
+
+Texts with the same words are one class (a 64-bit name of the words) from the start. A component's document with the smallest id stays; null ids stay only where there is no other. Of rows equal in id and text one stays. Null and
+empty texts are one class. An empty table gives no rows. Extra columns stay. A very long text costs memory in proportion to its words, in one task.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import forget, prepare, stored, text_of
-from marlstone.llm.simhash import components, fingerprint, links, shingle_hashes, words_of
-from marlstone.llm.substring_dedup import _pack, _unpack
+from marlstone.llm.simhash import components, fingerprint, links
+from marlstone.llm.words import Words, mixed, rolled
 
-SHINGLE, SIMILARITY, SKETCH = 5, 0.8, 512
-#: Six standard errors of an estimate at the threshold, 0.106, rounded up.
-DOUBT = 0.11
+SHINGLE, SIMILARITY = 5, 0.8
+#: Prefix shingles of a text at which the first two rounds make stars, about.
+EARLY = (4, 16)
 #: Up to so many texts are picked by a broadcast of their hashes.
 MAX_BROADCAST_ROWS = 500_000
-#: Bands of minimum hashes, and hashes in each: 0.9997 of pairs at the similarity of 0.8 agree in some band.
-BANDS, ROWS = 20, 5
-#: And further bands of more hashes, which part large families whose members are mostly less alike than that.
-FINE_BANDS, FINE_ROWS = 30, 9
-#: Members of a group that is no large one, and how many next ones each is tied to there.
-FEW, NEXT = 64, 8
+#: Members of a group that is no large one.
+FEW = 64
 RUN_ROWS = 2_000_000
 #: Texts sampled for the common shingles, how many of them must hold one, and how many shingles are told apart as common.
 SAMPLE, COMMON, MOST_COMMON = 10_000, 5, 200_000
 
-_ENTRY = ("<u8", "<i8", "<i4")
+Common = tuple[np.ndarray, np.ndarray]
 
 
-_TURNS = np.random.default_rng(7).integers(0, 2**63, BANDS * ROWS + FINE_BANDS * FINE_ROWS, dtype=np.uint64) | np.uint64(1)
+class Shingles:
+    """The shingles of a batch of texts."""
 
+    def __init__(self, size: int):
+        self.size, self.names = size, Words(fold=True)
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """One key for each band of minimum hashes of a set; none for the empty set."""
-    if not len(hashes):
-        return hashes
-    least = np.full(len(_TURNS), ~np.uint64(0))
-    for i in range(0, len(hashes), 256):
-        part = hashes[i : i + 256]
-        part = part ^ (part >> np.uint64(31))
-        least = np.minimum(least, (part[None, :] * _TURNS[:, None]).min(axis=1))
-    least, coarse = least >> np.uint64(16), BANDS * ROWS
-    out = []
-    for n, part in ((BANDS, least[:coarse].reshape(BANDS, ROWS)), (FINE_BANDS, least[coarse:].reshape(FINE_BANDS, FINE_ROWS))):
-        key = np.arange(n, dtype=np.uint64) + np.uint64(len(out) * BANDS + 1)
-        for column in part.T:
-            key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(32)
-        out.append(key)
-    return np.concatenate(out)
-
-
-def words_hash(words: list[bytes]) -> int:
-    return xxhash.xxh64_intdigest(b" ".join(words))
+    def read(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+        """For each text the name of its words and the names of its shingles, repeats included. Fewer words than a shingle are one."""
+        v, bounds = self.names.read(column)
+        every = rolled(v, self.size)
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            n = b - a
+            own = every[a : b - self.size + 1] if n >= self.size else mixed(rolled(v[a:b], n) + np.uint64(n)) if n else every[:0]
+            yield self.whole(v[a:b]), own
+
+    @staticmethod
+    def whole(v: np.ndarray) -> int:
+        """The name of a sequence of words."""
+        place = mixed(np.arange(1, len(v) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        total = np.add.reduce(mixed(v ^ place), dtype=np.uint64) + np.uint64(len(v))
+        return int(mixed(np.array([total], np.uint64)).view(np.int64)[0])
+
+
+def unique(hashes: np.ndarray) -> np.ndarray:
+    h = np.sort(hashes)
+    return h[np.append(True, h[1:] != h[:-1])] if len(h) else h
 
 
 def prefix(hashes: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
@@ -79,197 +78,137 @@ def prefix(hashes: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
     return hashes[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    return (hashes[:SKETCH] >> np.uint64(32)).astype(np.uint32)
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """A bit for each of at least eight times as many slots as the set has members (a power of two), in bytes: whether an odd number of members falls there."""
+    slots = 64 if len(hashes) <= 8 else 8 << (len(hashes) - 1).bit_length()
+    at = (hashes >> np.uint64(7)) & np.uint64(slots - 1)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=slots).astype(np.uint8) & 1, bitorder="little")
 
 
-def jaccard(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> float:
-    """From two sorted sketches; exact where both are whole sets."""
-    if not na or not nb:
-        return float(na == nb)
-    both = np.sort(np.concatenate([a, b]))
-    again = both[1:] == both[:-1]
-    if na <= SKETCH and nb <= SKETCH:
-        shared = int(again.sum())
-        return shared / (len(both) - shared)
-    union = both[np.append(~again, True)][:SKETCH]
-    return float(np.count_nonzero(again & (both[1:] <= union[-1])) / len(union))
+def least_difference(a: np.ndarray, b: np.ndarray) -> int:
+    """In how many members two sets differ at least, from their odd sketches; a larger sketch is folded to the size of the smaller."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
-def marks(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, text_hash, words, fp): the hash of each text's words, and its SimHash."""
+def common_shingles(docs: DataFrame, size: int) -> Common:
+    """Sorted names of shingles common in a sample of the texts, and their ranks from 1, the most common last. Any order of shingles makes an exact join; this one makes its groups small."""
+    place = F.pmod(F.xxhash64(text_of()), F.lit(max(1, docs.count() // SAMPLE)))
+    few = docs.where(place == 0).select("text").distinct()
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(size)
         for b in batches:
-            words = [words_of(t) for t in b.column("text").to_pylist()]
-            own = np.array([words_hash(w) for w in words], np.uint64).view(np.int64)
-            fp = np.array([fingerprint(shingle_hashes(w, size)) for w in words], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(own), pa.array(fp)], names=["doc_id", "text_hash", "words", "fp"])
+            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(unique(s) for _, s in shingles.read(b.column("text")))]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("text_hash"), "text")
-    return rows.mapInArrow(made, "doc_id long, text_hash long, words long, fp long")
+    counts = few.mapInArrow(made, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    t = counts.orderBy(F.desc("n"), "h").limit(MOST_COMMON).toArrow()
+    h = t.column("h").to_numpy().astype(np.int64).view(np.uint64)
+    rank = np.arange(len(h), 0, -1, dtype=np.int64)
+    order = np.argsort(h)
+    return h[order], rank[order]
+
+
+def in_order(hashes: np.ndarray, common: Common) -> np.ndarray:
+    """Sorted hashes by rank, those of no rank first."""
+    if not len(common[0]) or not len(hashes):
+        return hashes
+    at = np.minimum(np.searchsorted(common[0], hashes), len(common[0]) - 1)
+    return hashes[np.argsort(np.where(common[0][at] == hashes, common[1][at], 0), kind="stable")]
 
 
-def sketches(docs: DataFrame, size: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(words, n, sketch, prefix) for each row of ``docs``; the prefix is in the order that ``common`` makes."""
+def read_once(docs: DataFrame, size: int, similarity: float, common: Common) -> DataFrame:
+    """(doc_id, text_hash, words, n, fp, odd, prefix): the name of each text's words, and its set's size, SimHash, odd sketch and ordered prefix. The only pass over all texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)  # at most MOST_COMMON shingles
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(size)
         for b in batches:
-            words = [words_of(t) for t in b.column("text").to_pylist()]
-            sets = [np.unique(shingle_hashes(w, size), return_counts=True)[0] for w in words]
-            own = np.array([words_hash(w) for w in words], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([len(x) for x in sets], pa.int32()), pa.array([sketch(x).tobytes() for x in sets], pa.binary()), pa.array([prefix(in_order(x, common), similarity).tobytes() for x in sets], pa.binary())], names=["words", "n", "sketch", "prefix"])
+            rows = []
+            for words, s in shingles.read(b.column("text")):
+                u = unique(s)
+                rows.append((words, len(u), int(np.uint64(fingerprint(s)).astype(np.int64)), odd_sketch(u).tobytes(), prefix(in_order(u, shared.value), similarity).tobytes()))
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            made = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), *made], names=["doc_id", "text_hash", "words", "n", "fp", "odd", "prefix"])
 
-    return docs.select("text").mapInArrow(made, "words long, n int, sketch binary, prefix binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("text_hash"), "text")
+    return rows.mapInArrow(made, "doc_id long, text_hash long, words long, n int, fp long, odd binary, prefix binary")
 
 
-def _packed_pairs(a: np.ndarray, b: np.ndarray, shares: int) -> pa.RecordBatch:
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.zeros(0, bool)
-    a, b = a[new], b[new]
-    to = ((a ^ b).view(np.uint64) % np.uint64(shares)).astype(np.int64)
-    rows = [(s, _pack(a[to == s], b[to == s])) for s in np.unique(to).tolist()]
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["share", "run"])
+_ENTRY = {"key": "<u8", "words": "<i8", "root": "<i8", "n": "<i4", "pos": "<i4"}
+_PAIR = {"a": "<i8", "b": "<i8"}
 
 
-def candidates(docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Distinct pairs (a, b) of word hashes that share a shingle of their prefixes or a band, by stars."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    step, shingle = -math.log(similarity), size
+def _packed(share: np.ndarray, shares: int, columns: list[np.ndarray], kinds: dict[str, str]) -> pa.RecordBatch:
+    """A row for each share, with the shares' part of the columns as bytes."""
+    order = np.argsort(share, kind="stable")
+    cuts = np.searchsorted(share[order], np.arange(shares + 1))
+    full = np.flatnonzero(np.diff(cuts)).tolist()
+    sorted_ = [c[order].astype(k) for c, k in zip(columns, kinds.values(), strict=True)]
+    blobs = [pa.array([c[cuts[s] : cuts[s + 1]].tobytes() for s in full], pa.binary()) for c in sorted_]
+    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *blobs], names=["share", *kinds])
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
 
-        def flush() -> pa.RecordBatch:
-            key, words, level = (np.concatenate(x) for x in zip(*held, strict=True))
-            to = ((key >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((words, level, key, to))
-            key, words, level, to = key[order], words[order], level[order], to[order]
-            new = np.append(True, (key[1:] != key[:-1]) | (words[1:] != words[:-1]))
-            key, words, level, to = key[new], words[new], level[new], to[new]
-            cuts = np.searchsorted(to, np.arange(parts + 1))
-            rows = [(s, _pack(key[cuts[s] : cuts[s + 1]], words[cuts[s] : cuts[s + 1]], level[cuts[s] : cuts[s + 1]])) for s in range(parts) if cuts[s] < cuts[s + 1]]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["share", "run"])
+def _schema(kinds: dict[str, str]) -> str:
+    return "share int, " + ", ".join(f"{k} binary" for k in kinds)
 
-        for b in batches:
-            for text in b.column("text"):
-                w = words_of(text.as_py())
-                hashes = np.unique(shingle_hashes(w, shingle), return_counts=True)[0]
-                key = np.concatenate([prefix(hashes, similarity), bands(hashes)])
-                own = np.int64(np.uint64(words_hash(w)).astype(np.int64))
-                held.append((key, np.full(len(key), own), np.full(len(key), int(math.log(max(len(hashes), 1)) / step + 1e-9), np.int32)))
-                size += len(key)
-            if size >= RUN_ROWS:
-                yield flush()
-                held, size = [], 0
-        if size:
-            yield flush()
 
-    def starred(runs: list[bytes]) -> pa.RecordBatch:
-        key, words, level = (np.concatenate(x) for x in zip(*(_unpack(r, _ENTRY) for r in runs), strict=True))
-        # who is least differs from shingle to shingle, so that members of a family meet many others as centers
-        turn = (key ^ words.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        order = np.lexsort((words, turn ^ (turn >> np.uint64(29)), level, key))
-        key, words, level = key[order], words[order], level[order]
-        new = np.append(True, (key[1:] != key[:-1]) | (words[1:] != words[:-1]))
-        key, words, level = key[new], words[new], level[new]
-        head = np.append(True, (key[1:] != key[:-1]) | (level[1:] != level[:-1]))
-        group = np.cumsum(head) - 1
-        first = np.flatnonzero(head)
-        center = words[first][group]
-        below = np.flatnonzero(np.append(False, (key[first][1:] == key[first][:-1]) & (level[first][1:] == level[first][:-1] + 1)))
-        mark = np.full(len(first), -1, np.int64)
-        mark[below] = first[below - 1]
-        lower = mark[group]
-        a, b = [center, words[lower[lower >= 0]]], [words, words[lower >= 0]]
-        # groups of up to FEW members also tie each to the next few, whatever the center
-        turn = (key ^ words.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        mixed = np.lexsort((words, turn ^ (turn >> np.uint64(29)), key))
-        k, w, v = key[mixed], words[mixed], level[mixed]
-        edge = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-        size = np.diff(edge, append=len(k))
-        small = np.repeat(size <= FEW, size)
-        for hop in range(1, NEXT + 1):
-            i = np.flatnonzero(small[:-hop] & (k[:-hop] == k[hop:]) & (np.abs(v[:-hop] - v[hop:]) <= 1))
-            a.append(w[i])
-            b.append(w[i + hop])
-        a, b = np.concatenate(a), np.concatenate(b)
-        apart = a != b
-        return _packed_pairs(np.minimum(a, b)[apart], np.maximum(a, b)[apart], parts)
-
-    def by_share(batches: Iterator[pa.RecordBatch], done) -> Iterator[pa.RecordBatch]:
-        now, runs = None, []
-        for b in batches:
-            for share, run in zip(b.column("share").to_pylist(), b.column("run").to_pylist(), strict=True):
-                if share != now and runs:
-                    yield done(runs)
-                    runs = []
-                now = share
-                runs.append(run)
-        if runs:
-            yield done(runs)
-
-    def opened(runs: list[bytes]) -> pa.RecordBatch:
-        a, b = (np.concatenate(x) for x in zip(*(_unpack(r, ("<i8", "<i8")) for r in runs), strict=True))
-        pairs = np.unique(np.stack([a, b], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    runs = docs.select("text").mapInArrow(dealt, "share int, run binary").repartition(parts, "share").sortWithinPartitions("share")
-    packed = runs.mapInArrow(lambda it: by_share(it, starred), "share int, run binary").repartition(parts, "share").sortWithinPartitions("share")
-    return packed.mapInArrow(lambda it: by_share(it, opened), "a long, b long")
-
-
-def common_shingles(docs: DataFrame, total: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of shingles common in a sample of the texts, and their ranks from 1, the most common last. Any order of shingles makes an exact join; this one makes its groups small."""
-    place = F.pmod(F.xxhash64(text_of()), F.lit(max(1, total // SAMPLE)))
-    few = docs.where(place == 0).select("text").distinct()
+def _by_share(batches: Iterator[pa.RecordBatch], kinds: dict[str, str]) -> Iterator[list[np.ndarray]]:
+    """The columns of each share, whole."""
+    held: dict[int, list[list[bytes]]] = {}
+    for b in batches:
+        for share, *blobs in zip(*(b.column(c).to_pylist() for c in ("share", *kinds)), strict=True):
+            held.setdefault(share, []).append(blobs)
+    while held:
+        _, rows = held.popitem()
+        yield [np.frombuffer(b"".join(blobs), k) for blobs, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)]
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [np.unique(shingle_hashes(words_of(t), size)) for t in b.column("text").to_pylist()]
-            h, n = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]).astype(np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
-    counts = few.mapInArrow(made, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
-    t = counts.orderBy(F.desc("n"), "h").limit(MOST_COMMON).toArrow()
-    h = t.column("h").to_numpy().astype(np.int64).view(np.uint64)
-    rank = np.arange(len(h), 0, -1, dtype=np.int64)
-    order = np.argsort(h)
-    return h[order], rank[order]
+def star_pairs(key: np.ndarray, words: np.ndarray, root: np.ndarray, n: np.ndarray, pos: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every member of a key's group with the first of its size class and of the class below."""
+    level = (np.log(np.maximum(n, 1)) / -math.log(similarity) + 1e-9).astype(np.int32)
+    turn = mixed(key ^ words.view(np.uint64))
+    order = np.lexsort((words, turn, level, key))
+    key, words, root, level = key[order], words[order], root[order], level[order]
+    head = np.append(True, (key[1:] != key[:-1]) | (level[1:] != level[:-1]))
+    first = np.flatnonzero(head)
+    group = np.cumsum(head) - 1
+    below = np.full(len(first), -1, np.int64)
+    near = np.flatnonzero((key[first][1:] == key[first][:-1]) & (level[first][1:] == level[first][:-1] + 1)) + 1
+    below[near] = first[near - 1]
+    for center in (first[group], below[group]):
+        good = np.flatnonzero(center >= 0)
+        good = good[root[good] != root[center[good]]]
+        yield words[center[good]], words[good]
 
 
-def in_order(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Sorted hashes by rank, those of no rank first."""
-    if not len(common[0]) or not len(hashes):
-        return hashes
-    at = np.minimum(np.searchsorted(common[0], hashes), len(common[0]) - 1)
-    return hashes[np.argsort(np.where(common[0][at] == hashes, common[1][at], 0), kind="stable")]
-
-
-def group_pairs(key: np.ndarray, words: np.ndarray, root: np.ndarray, n: np.ndarray, pos: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of different roots within each key whose sizes and places allow the similarity when the key is the first shingle they share."""
+def all_pairs(key: np.ndarray, words: np.ndarray, root: np.ndarray, n: np.ndarray, pos: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of different roots within each key whose sizes and places allow the similarity when the key is the first shingle they share. A member of a large group meets those of other roots than the largest one only once."""
+    order = np.argsort(key, kind="stable")
+    key, words, root, n, pos = key[order], words[order], root[order], n[order], pos[order]
 
     def able(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        most = 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1
+        most = np.minimum(n[i] - pos[i], n[j] - pos[j])
         return (root[i] != root[j]) & (most >= similarity / (1 + similarity) * (n[i] + n[j]) - 1e-6) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6)
 
     edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     size = np.diff(edge, append=len(key))
     held, many = [], 0
     small = np.repeat(size <= FEW, size)
-    for hop in range(1, FEW):
-        i = np.flatnonzero(small[:-hop] & (key[:-hop] == key[hop:])) if hop < len(key) else edge[:0]
+    for hop in range(1, min(FEW, len(key))):
+        i = np.flatnonzero(small[:-hop] & (key[:-hop] == key[hop:]))
         if not len(i):
             break
         i = i[able(i, i + hop)]
         held.append((words[i], words[i + hop]))
     for start, count in zip(edge[size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
         member = np.arange(start, start + count)
-        names, of, each = np.unique(root[member], return_inverse=True, return_counts=True)
-        if len(names) == 1:
-            continue
-        # two members of the largest root never need a check: the others against all
+        _, of, each = np.unique(root[member], return_inverse=True, return_counts=True)
         main = of == np.argmax(each)
         others, rest = member[~main], member[main]
         for k, x in enumerate(others.tolist()):
@@ -284,27 +223,28 @@ def group_pairs(key: np.ndarray, words: np.ndarray, root: np.ndarray, n: np.ndar
         yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
 
 
-def remaining(own: DataFrame, tied: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs (a, b) of different roots that can have the similarity: the exact prefix join. ``own``: (words, n, prefix), ``tied``: (node, root)."""
+Pairing = Callable[..., Iterator[tuple[np.ndarray, np.ndarray]]]
+
+
+def meeting(own: DataFrame, tied: DataFrame | None, pairing: Pairing, similarity: float, few: int | None = None) -> DataFrame:
+    """Distinct pairs (a, b) of different roots that meet at a prefix shingle. ``own``: (words, n, prefix), ``tied``: (node, root), ``few``: at about so many shingles of each text only."""
     parts = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kinds = ("<u8", "<i8", "<i8", "<i4", "<i4")
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, many = [], 0
 
         def flush() -> pa.RecordBatch:
             columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-            to = ((columns[0] >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            columns, cuts = [c[order] for c in columns], np.searchsorted(to[order], np.arange(parts + 1))
-            rows = [(s, _pack(*(c[cuts[s] : cuts[s + 1]] for c in columns))) for s in range(parts) if cuts[s] < cuts[s + 1]]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["share", "run"])
+            return _packed(((columns[0] >> np.uint64(20)) % np.uint64(parts)).astype(np.int64), parts, columns, _ENTRY)
 
         for b in batches:
             for words, root, n, first in zip(*(b.column(c).to_pylist() for c in ("words", "root", "n", "prefix")), strict=True):
                 key = np.frombuffer(first, np.uint64)
-                m = len(key)
-                held.append((key, np.full(m, words, np.int64), np.full(m, root, np.int64), np.full(m, n, np.int32), np.arange(m, dtype=np.int32)))
+                pos = np.arange(len(key), dtype=np.int32)
+                if few is not None and len(key) > few:
+                    pos = np.flatnonzero(mixed(key) < np.uint64(min(few / len(key), 1.0) * 2**63) * np.uint64(2)).astype(np.int32)
+                m = len(pos)
+                held.append((key[pos], np.full(m, words, np.int64), np.full(m, root, np.int64), np.full(m, n, np.int32), pos))
                 many += m
             if many >= RUN_ROWS:
                 yield flush()
@@ -312,65 +252,58 @@ def remaining(own: DataFrame, tied: DataFrame, similarity: float) -> DataFrame:
         if many:
             yield flush()
 
-    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
-        now, runs = None, []
-        for b in batches:
-            for share, run in zip(b.column("share").to_pylist(), b.column("run").to_pylist(), strict=True):
-                if share != now and runs:
-                    yield runs
-                    runs = []
-                now = share
-                runs.append(run)
-        if runs:
-            yield runs
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for runs in shares(batches):
-            columns = [np.concatenate(c) for c in zip(*(_unpack(r, kinds) for r in runs), strict=True)]
-            order = np.argsort(columns[0], kind="stable")
-            for x, y in group_pairs(*(c[order] for c in columns), similarity):
-                yield _packed_pairs(np.minimum(x, y), np.maximum(x, y), parts)
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, words, root, n, pos in _by_share(batches, _ENTRY):
+            # keys whose members all have one root, most of them a single member, have nothing to pair
+            order = np.argsort(key, kind="stable")
+            edge = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+            mixed_ = np.maximum.reduceat(root[order], edge) != np.minimum.reduceat(root[order], edge)
+            use = order[np.repeat(mixed_, np.diff(edge, append=len(key)))]
+            for x, y in pairing(key[use], words[use], root[use], n[use], pos[use], similarity) if len(use) else ():
+                a, b = np.minimum(x, y), np.maximum(x, y)
+                yield _packed(((a ^ b).view(np.uint64) % np.uint64(parts)).astype(np.int64), parts, [a, b], _PAIR)
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for runs in shares(batches):
-            a, b = (np.concatenate(x) for x in zip(*(_unpack(r, ("<i8", "<i8")) for r in runs), strict=True))
-            pairs = np.unique(np.stack([a, b], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        for a, b in _by_share(batches, _PAIR):
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
 
-    named = own.select("words", "n", "prefix").join(tied.withColumnRenamed("node", "words"), "words", "left").withColumn("root", F.coalesce("root", "words"))
-    runs = named.mapInArrow(dealt, "share int, run binary").repartition(parts, "share").sortWithinPartitions("share")
-    packed = runs.mapInArrow(joined, "share int, run binary").repartition(parts, "share").sortWithinPartitions("share")
-    return packed.mapInArrow(opened, "a long, b long")
+    named = own.select("words", "n", "prefix", F.col("words").alias("root")) if tied is None else _rooted(own.select("words", "n", "prefix"), tied)
+    runs = named.mapInArrow(dealt, _schema(_ENTRY)).repartitionById(parts, F.col("share"))
+    return runs.mapInArrow(paired, _schema(_PAIR)).repartitionById(parts, F.col("share")).mapInArrow(opened, "a long, b long")
+
+
+def _rooted(rows: DataFrame, tied: DataFrame) -> DataFrame:
+    return rows.join(tied.withColumnRenamed("node", "words"), "words", "left").withColumn("root", F.coalesce("root", "words"))
 
 
 def whole_sets(docs: DataFrame, rows: DataFrame, needed: DataFrame, size: int) -> DataFrame:
-    """(words, whole) for the word hashes in ``needed``: all their distinct shingle hashes, sorted. ``rows``: (doc_id, text_hash, words)."""
+    """(words, whole) for the names in ``needed``: all their distinct shingles, sorted. ``rows``: (text_hash, words)."""
     chosen = stored(rows.join(needed, "words", "left_semi").groupBy("words").agg(F.min("text_hash").alias("__h")).select("__h").distinct(), "similar-chosen")
     chosen = F.broadcast(chosen) if chosen.count() <= MAX_BROADCAST_ROWS else chosen
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(size)
         for b in batches:
-            words = [words_of(t) for t in b.column("text").to_pylist()]
-            own = np.array([words_hash(w) for w in words], np.uint64).view(np.int64)
-            sets = [np.unique(shingle_hashes(w, size), return_counts=True)[0].tobytes() for w in words]
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(sets, pa.binary())], names=["words", "whole"])
+            got = [(words, unique(s).tobytes()) for words, s in shingles.read(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in got], pa.int64()), pa.array([s for _, s in got], pa.binary())], names=["words", "whole"])
 
     picked = docs.withColumn("__h", F.xxhash64(text_of())).join(chosen, "__h", "left_semi").select("text")
     return picked.mapInArrow(made, "words long, whole binary").dropDuplicates(["words"])
 
 
 def checked(pairs: DataFrame, own: DataFrame, docs: DataFrame, rows: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs whose shingles are similar enough. ``own``: (words, n, sketch), each words once; ``rows``: (doc_id, text_hash, words) of ``docs``."""
-    left, right = (own.select(F.col("words").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
-    both = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb"))
+    """The pairs whose shingle sets are similar enough. ``own``: (words, n, odd), each words once; ``rows``: (text_hash, words) of ``docs``."""
+    left, right = (own.select(F.col("words").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"o{c}")) for c in "ab")
+    both = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-6)
 
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = list(zip(*(b.column(c).to_pylist() for c in ("sa", "sb", "na", "nb")), strict=True))
-            likeness = np.array([jaccard(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), n, m) for x, y, n, m in rows], float)
-            doubt = np.array([max(n, m) > SKETCH for _, _, n, m in rows], bool) & (np.abs(likeness - similarity) <= DOUBT)
-            out = pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(doubt)], names=["a", "b", "doubt"])
-            yield out.filter(pa.array(doubt | (likeness >= similarity - 1e-9)))
+            rows = zip(*(b.column(c).to_pylist() for c in ("oa", "ob", "na", "nb")), strict=True)
+            good = [least_difference(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) <= (n + m) * (1 - similarity) / (1 + similarity) + 1e-6 for x, y, n, m in rows]
+            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -378,51 +311,43 @@ def checked(pairs: DataFrame, own: DataFrame, docs: DataFrame, rows: DataFrame,
             for x, y in zip(b.column("wa").to_pylist(), b.column("wb").to_pylist(), strict=True):
                 n, m = len(x) // 8, len(y) // 8
                 shared = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                good.append(shared / (n + m - shared) >= similarity - 1e-9)
+                good.append(shared >= similarity * (n + m - shared) - 1e-9)
             yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    seen = stored(both.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(judged, "a long, b long, doubt boolean"), "similar-judged")
-    sure, doubtful = seen.where(~F.col("doubt")).select("a", "b"), seen.where("doubt").select("a", "b")
-    if doubtful.isEmpty():
-        return sure
-    needed = doubtful.select(F.explode(F.array("a", "b")).alias("words")).distinct()
+    seen = stored(both.select("a", "b", "oa", "ob", "na", "nb").mapInArrow(possible, "a long, b long"), "similar-possible")
+    needed = seen.select(F.explode(F.array("a", "b")).alias("words")).distinct()
     whole = stored(whole_sets(docs, rows, needed, size), "similar-whole")
     left, right = (whole.select(F.col("words").alias(c), F.col("whole").alias(f"w{c}")) for c in "ab")
-    return sure.unionByName(doubtful.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(compared, "a long, b long"))
+    out = stored(seen.join(right, "b").join(left, "a").select("a", "b", "wa", "wb").mapInArrow(compared, "a long, b long"), "similar-checked")
+    forget(seen)
+    forget(whole)
+    return out
 
 
 def groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, text_hash, root) for each row of ``docs``: rows with the same root are one near-duplicate group."""
     prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    rows = stored(marks(docs, size), "similar-rows")
-    classes = rows.groupBy("words").agg(F.first("fp").alias("fp"))
+    rows = stored(read_once(docs, size, similarity, common_shingles(docs, size)), "similar-rows")
+    own = stored(rows.select("words", "n", "fp", "odd", "prefix").dropDuplicates(["words"]), "similar-own")
     # SimHash: one class for each fingerprint stands for those that share it
-    named = stored(classes.groupBy("fp").agg(F.min("words").alias("w")), "similar-fp")
+    named = stored(own.groupBy("fp").agg(F.min("words").alias("w")), "similar-fp")
     near = links(named.select("fp")).join(named.select(F.col("fp").alias("a"), F.col("w").alias("wa")), "a").join(named.select(F.col("fp").alias("b"), F.col("w").alias("wb")), "b").select(F.col("wa").alias("a"), F.col("wb").alias("b"))
-    same = classes.join(named, "fp").where("words <> w").select(F.col("w").alias("a"), F.col("words").alias("b"))
-    met = stored(candidates(docs, size, similarity).unionByName(near).unionByName(same), "similar-met")
-    pairs = stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-pairs")
-    forget(met)
-    common = common_shingles(docs, rows.count(), size)
-    own = stored(sketches(docs, size, similarity, common).dropDuplicates(["words"]), "similar-sketches")
-    # a quarter of the pairs first: of the others only those that are not in one component by then need a check
-    early = F.pmod(F.xxhash64("a", "b"), F.lit(4)) == 0
-    edges = stored(checked(pairs.where(early), own, docs, rows, size, similarity), "similar-edges")
-    tied = stored(components(edges), "similar-tied")
-    ra, rb = (tied.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
-    open_ = pairs.where(~early).join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    more = stored(checked(open_, own, docs, rows, size, similarity), "similar-more")
-    forget(pairs)
-    tied = stored(components(edges.unionByName(more)), "similar-tied")
-    # what the stars missed: all other pairs that the prefixes allow
-    last = stored(remaining(own, tied, similarity), "similar-last")
-    found = stored(checked(last, own, docs, rows, size, similarity), "similar-found")
-    for t in (named, last, own):
-        forget(t)
-    if not found.isEmpty():
-        tied = components(edges.unionByName(more).unionByName(found))
-    return rows.select("doc_id", "text_hash", "words").join(tied.withColumnRenamed("node", "words"), "words", "left").select("doc_id", "text_hash", F.coalesce("root", "words").alias("root"))
+    same = own.join(named, "fp").where("words <> w").select(F.col("w").alias("a"), F.col("words").alias("b"))
+    first = near.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(meeting(own, None, star_pairs, similarity, EARLY[0])).distinct()
+
+    def grown(pairs: DataFrame, before: DataFrame | None) -> DataFrame:
+        """The components after a round: the tree edges of those before and the round's similar pairs."""
+        edges = checked(pairs, own, docs, rows, size, similarity)
+        if before is not None and edges.isEmpty():
+            return before
+        return components(edges if before is None else edges.unionByName(before.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+    tied = grown(first, None)
+    for pairing, few in ((star_pairs, EARLY[1]), (star_pairs, None), (all_pairs, None)):
+        tied = grown(meeting(own, tied, pairing, similarity, few), tied)
+    forget(named)
+    return _rooted(rows.select("doc_id", "text_hash", "words"), tied).select("doc_id", "text_hash", "root")
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
