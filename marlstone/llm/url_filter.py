@@ -2,14 +2,14 @@
 
 A rule is a host, a path prefix and a verdict; it fits the host and its subdomains where the url's path starts with the prefix. Looked up
 are *keys*, a host suffix followed by a path prefix (``example.net/en/``): a url has one key for each suffix of at most as many labels as
-any rule's host and each prefix length that rules have. For each verdict, level 0 of a cascade encodes the listed keys, level 1 those other
+any rule's host and each prefix length that rules have. For each outcome (block rule, allow rule, plainly blocked host), level 0 of a cascade encodes the listed keys, level 1 those other
 keys of the corpus's whole key universe that level 0 lets through, level 2 the listed keys that level 1 lets through, and so on until
-nothing passes wrongly. Membership is the parity of the level that first says no, exact for every key of the universe, with no join and with filters
-whose size follows the rules and, by a square root, the universe. The universe is one distributed ``distinct``.
+nothing passes wrongly. Membership is the parity of the level that first says no, exact for every key of the universe, with no join of the pages and with filters
+whose size follows the rules and, by a logarithm, the universe: some ``1.44 * (log2(universe / rules) + 3)`` bits a rule. The universe is one distributed ``distinct``; only what passes level 0 is joined with the list to learn what passed wrongly.
 
-A url that is null or has no ``://`` has an empty host and path and fits no rule. Without a rule a url gets the verdict ``block`` if its
-host is on the plain list of blocked hosts (rules with an empty path prefix, not reported as rules), else ``allow``. Repeated rules count
-once; a key under both verdicts blocks. An empty table gives no rows. Extra columns are kept by ``judge``, except those it adds.
+Rules and hosts are tables of any length or, for short lists, Python sequences; nothing but filters is broadcast. A url that is null or has no ``://`` has an empty host and path and fits no rule. Without a rule a url gets the verdict ``block`` if its
+host is on the plain list of blocked hosts (or a subdomain of one), else ``allow``. Repeated rules count
+once; a key under both verdicts blocks; null rules and hosts are ignored. An empty table gives no rows. Extra columns are kept by ``judge``, except those it adds. A very long url costs as many keys as any other; its host and path are returned whole.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import forget, prepare, stored
@@ -72,7 +72,8 @@ class Bloom:
 @dataclass
 class Cascade:
     levels: list[Bloom] = field(default_factory=list)
-    #: Hashes that listed and other keys share; empty but for collisions of 64 bits, and then decided by the key itself.
+    #: Hashes that a listed and another key share, and the listed keys with such a hash: empty but for collisions of 64 bits, which are decided by the key itself.
+    shared: frozenset[int] = frozenset()
     collisions: frozenset[str] = frozenset()
 
     def passed(self, keys: np.ndarray) -> np.ndarray:
@@ -86,8 +87,13 @@ class Cascade:
                 break
         return out
 
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        return self.passed(keys) % 2 == 1
+    def has(self, keys: np.ndarray, names: Sequence[str]) -> np.ndarray:
+        """Which keys, given by hash and name, are listed: their places."""
+        found = np.flatnonzero(self.passed(keys) % 2 == 1)
+        if self.shared:
+            alike = np.flatnonzero(np.isin(keys, list(self.shared)))
+            found = np.union1d(np.setdiff1d(found, alike), np.array([i for i in alike if names[i] in self.collisions], np.int64))
+        return found
 
 
 def _passing(keys: DataFrame, cascade: Cascade) -> DataFrame:
@@ -117,69 +123,80 @@ def _filled(keys: DataFrame, bloom: Bloom) -> Bloom:
     return bloom.add(words)
 
 
-def build_cascade(universe: DataFrame, listed: Sequence[str]) -> Cascade:
-    """``universe``: distinct (key, h). Keys listed but absent from it need no bits."""
-    sides = universe.withColumn("listed", F.col("key").isin(*listed) if listed else F.lit(False))
-    counts = {r.listed: r["count"] for r in sides.groupBy("listed").count().collect()}
-    n, others = counts.get(True, 0), counts.get(False, 0)
-    cascade, side = Cascade(), True
-    to_encode = n
-    while to_encode:
-        rate = min(0.5, n * math.sqrt(0.5) / max(others, 1)) if not cascade.levels else 0.5
-        now = _passing(sides.where(F.col("listed") == side), cascade) if cascade.levels else sides.where("listed")
-        cascade.levels.append(_filled(now, Bloom.sized(to_encode, rate, len(cascade.levels))))
+def build_cascade(universe: DataFrame, listed: DataFrame) -> Cascade:
+    """``universe``: distinct (key, h), ``listed``: distinct (key, h)."""
+    n, others = listed.count(), universe.count()
+    cascade = Cascade()
+    if not n:
+        return cascade
+    cascade.levels.append(_filled(listed, Bloom.sized(n, min(0.5, n * math.sqrt(0.5) / max(others, 1)), 0)))
+    # what passes the first level is the listed keys and a few others: only these are told apart by a join
+    few = _passing(universe, cascade).join(listed.select("key", F.lit(True).alias("yes")), "key", "left").select("key", "h", F.col("yes").isNotNull().alias("listed"))
+    sides, side = stored(few, "url-sides"), False
+    while True:
+        now = stored(_passing(sides.where(F.col("listed") == side), cascade), "url-passing")
+        to_encode = now.count()
+        if to_encode and len(cascade.levels) >= 64:  # equal hashes never part
+            both = _passing(sides, cascade)
+            same = both.groupBy("h").agg(F.count_distinct("listed").alias("k")).where("k > 1").select("h")
+            cascade.shared = frozenset(r.h for r in same.collect())
+            cascade.collisions = frozenset(r.key for r in both.where("listed").join(same, "h", "left_semi").collect())
+            to_encode = 0
+        if to_encode:
+            cascade.levels.append(_filled(now, Bloom.sized(to_encode, 0.5, len(cascade.levels))))
+        forget(now)
+        if not to_encode:
+            forget(sides)
+            return cascade
         side = not side
-        rest = _passing(sides.where(F.col("listed") == side), cascade)
-        to_encode = rest.count()
-        if len(cascade.levels) >= 64 and to_encode:  # equal hashes never part
-            cascade.collisions = frozenset(r.key for r in _passing(sides, cascade).where("listed").collect())
-            break
-    return cascade
 
 
-def with_keys(pages: DataFrame, rules: Sequence[tuple[str, str]], hosts: Sequence[str]) -> DataFrame:
+def rules_table(spark: SparkSession, rules: DataFrame | Sequence[tuple[str, str]], hosts: DataFrame | Sequence[str]) -> DataFrame:
+    """Distinct (key, h, kind) of rules (rule, verdict) and hosts (host); kind is block, allow or host."""
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame(list(rules), "rule string, verdict string")
+    if not isinstance(hosts, DataFrame):
+        hosts = spark.createDataFrame([(h,) for h in hosts], "host string")
+    named = rules.groupBy(F.col("rule").alias("key")).agg(F.max("verdict").alias("kind"))  # block, if under both
+    return named.unionByName(hosts.select(F.col("host").alias("key"), F.lit("host").alias("kind")).distinct()).where("key is not null").select("key", F.xxhash64("key").alias("h"), "kind")
+
+
+def with_keys(pages: DataFrame, labels: int, lengths: Sequence[int]) -> DataFrame:
     """``pages`` with host, path and the array of keys."""
-    listed = [*(r for r, _ in rules), *hosts]
-    labels = max([1, *(k.partition("/")[0].count(".") + 1 for k in listed)])
-    lengths = sorted({len(k) - len(k.partition("/")[0]) for k in listed} or {0})
     lower = F.translate(F.regexp_extract("url", r"(?s)://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     host = F.coalesce(lower, F.lit(""))
     path = F.coalesce(F.regexp_extract("url", r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
     out = pages.withColumns({"host": host, "path": path})
-    suffixes = F.array_distinct(F.array(*(F.substring_index("host", ".", -n) for n in range(1, labels + 1))))
-    starts = F.array_distinct(F.array(*(F.substring("path", 1, n) for n in lengths)))
+    suffixes = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(labels)), lambda n: F.call_function("substring_index", F.col("host"), F.lit("."), -n)))
+    starts = F.array_distinct(F.transform(F.array(*map(F.lit, lengths)), lambda n: F.substring(F.col("path"), F.lit(1), n)))
     return out.withColumn("keys", F.array_distinct(F.flatten(F.transform(suffixes, lambda s: F.transform(starts, lambda p: F.concat(s, p))))))
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, hosts: Sequence[str] = BLOCKED_HOSTS) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame | Sequence[tuple[str, str]] = RULES, hosts: DataFrame | Sequence[str] = BLOCKED_HOSTS) -> DataFrame:
     """``pages`` with host, path, rule and verdict."""
-    prepare(pages.sparkSession)
-    keyed = with_keys(pages.drop("host", "path", "keys", "hashes", "rule", "verdict"), rules, hosts)
+    spark = pages.sparkSession
+    prepare(spark)
+    listed = stored(rules_table(spark, rules, hosts), "url-rules")
+    head = F.substring_index("key", "/", 1)
+    widths = listed.select((F.length(head) - F.length(F.translate(head, ".", "")) + 1).alias("labels"), (F.length("key") - F.length(head)).alias("length")).distinct().collect()  # no more than pairs of two small numbers
+    keyed = with_keys(pages.drop("host", "path", "keys", "hashes", "rule", "verdict"), max([1, *(r.labels for r in widths)]), sorted({0, *(r.length for r in widths)}))
     universe = stored(keyed.select(F.explode("keys").alias("key")).distinct().withColumn("h", F.xxhash64("key")), "url-keys")
-    block = sorted({*(r for r, v in rules if v == "block"), *hosts})
-    allow = sorted({r for r, v in rules if v == "allow"} - set(block))
-    cascades = {"block": build_cascade(universe, block), "allow": build_cascade(universe, allow)}
+    kinds = ("block", "allow", "host")
+    shared = spark.sparkContext.broadcast({k: build_cascade(universe, listed.where(F.col("kind") == k).select("key", "h")) for k in kinds})  # filters: a few bytes a rule
     forget(universe)
-    shared = pages.sparkSession.sparkContext.broadcast((cascades, {"block": frozenset(block), "allow": frozenset(allow)}, frozenset(hosts)))
+    forget(listed)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cascades, listed, plain = shared.value
         for b in batches:
             keys = b.column("keys").flatten().to_pylist()
             h = np.asarray(b.column("hashes").flatten().to_numpy(zero_copy_only=False), np.int64)
             counts = np.asarray(pc.list_value_length(b.column("keys")).to_numpy(zero_copy_only=False), np.int64)
             row = np.repeat(np.arange(b.num_rows), counts)
-            best: dict[int, tuple[int, str]] = {}
-            blocked: set[int] = set()
-            for verdict, cascade in cascades.items():
-                for i in np.flatnonzero(cascade.has(h)):
-                    key = keys[i]
-                    if cascade.collisions and key not in listed[verdict]:
-                        continue
-                    if key in plain:
-                        blocked.add(int(row[i]))
-                    else:
-                        best[int(row[i])] = max(best.get(int(row[i]), (0, "", "")), (len(key), key, verdict))
+            best: dict[int, tuple[int, str, str]] = {}
+            for kind in ("block", "allow"):
+                for i in shared.value[kind].has(h, keys).tolist():
+                    best[int(row[i])] = max(best.get(int(row[i]), (-1, "", "")), (len(keys[i]), keys[i], kind))
+            blocked = {int(row[i]) for i in shared.value["host"].has(h, keys)}
             rule = [best[i][1] if i in best else None for i in range(b.num_rows)]
             verdict = [best[i][2] if i in best else "block" if i in blocked else "allow" for i in range(b.num_rows)]
             kept = b.select([n for n in b.schema.names if n not in ("keys", "hashes")])
