@@ -6,23 +6,23 @@ whatever their offset. A phrase is named by a hash of what it is made of, and th
 and 14 characters); the share of common names among the least of two fingerprints estimates the Jaccard likeness of the texts' phrases, at level 2 where both have ``ENOUGH`` of them, else
 at level 1.
 
-Equal texts have equal fingerprints and likeness 1; a null text counts as empty, whose fingerprint is ``-``. Documents with equal ids are taken in the order of their texts' hashes, null ids come
-last. A table's only document is its own next one; an empty table gives no rows.
+Equal texts have equal fingerprints and likeness 1; a null text counts as empty, whose fingerprint is ``-``. Documents with equal ids are taken in the order of their texts' hashes, equal rows one after another, null ids come
+last. A table's only document is its own next one; an empty table gives no rows; columns other than doc_id and text are ignored. A very long text is parsed whole, in some 50 bytes of a task's memory for each character.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import prepare, text_of
+from marlstone.llm.common import prepare, stored, text_of
 
 KEEP, ENOUGH = (16, 64), 8
 #: Characters parsed together.
@@ -125,29 +125,41 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, hash, text, n): distinct documents and how many rows are equal to each. Only where ids repeat do rows have to be brought together for it; equal ones combine before the shuffle."""
+    keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("key"), text_of().alias("text"))
+    if keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return keyed.select("doc_id", "key", F.lit(0).cast("long").alias("hash"), "text", F.lit(1).cast("long").alias("n"))
+    hashed = keyed.withColumn("hash", F.xxhash64("text"))
+    return stored(hashed.groupBy("key", "hash").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count(F.lit(1)).alias("n")).select("doc_id", "key", "hash", "text", "n"), "fingerprint-rows")
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """(bucket, extra, doc_id, text) so that a sorted bucket holds runs of documents by descending id, and after each run the document that follows it."""
+    """(bucket, extra, doc_id, text, n) so that a sorted bucket holds runs of documents by descending id (equal ids by hash), and after each run the document that follows it. n: rows that the document stands for."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("key"), text_of().alias("text"))
+    rows = _numbered(docs)
 
     def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = max((pc.max(b.column("key")).as_py() for b in batches if b.num_rows), default=None)
+        top = max((max(zip(b.column("key").to_pylist(), b.column("turn").to_pylist(), strict=True)) for b in batches if b.num_rows), default=None)
         if top is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([top], pa.int64())], names=["key"])
+            yield pa.RecordBatch.from_arrays([pa.array([top[0]], pa.int64()), pa.array([top[1]], pa.int64())], names=["key", "turn"])
 
-    bounds = np.unique([r.key for r in keyed.select("key").repartitionByRange(parts, "key").mapInArrow(largest, "key long").collect()])  # one for each partition
-    shared = spark.sparkContext.broadcast(bounds.astype(np.int64))
+    rows = rows.withColumn("turn", F.bitwise_not("hash"))  # descending by turn is ascending by hash
+    each = rows.select("key", "turn").repartitionByRange(parts, "key", "turn").mapInArrow(largest, "key long, turn long")
+    bounds = sorted({(r.key, r.turn) for r in each.collect()})  # one for each partition
+    shared = spark.sparkContext.broadcast(bounds)
 
     @F.pandas_udf("array<int>")
-    def buckets(key: pd.Series) -> pd.Series:
-        bounds = shared.value
-        b = np.searchsorted(bounds, key.to_numpy(np.int64))
-        edge = bounds[b] == key.to_numpy(np.int64)
-        return pd.Series([[i, (i + 1) % len(bounds)] if e else [i] for i, e in zip(b.tolist(), edge.tolist(), strict=True)])
+    def buckets(key: pd.Series, turn: pd.Series) -> pd.Series:
+        out = []
+        for at in zip(key.tolist(), turn.tolist(), strict=True):
+            i = bisect_left(shared.value, at)
+            out.append([i, (i + 1) % len(shared.value)] if shared.value[i] == at else [i])
+        return pd.Series(out)
 
-    dealt = keyed.select("doc_id", "key", "text", F.xxhash64("text").alias("hash"), F.posexplode(buckets("key")).alias("extra", "bucket"))
-    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "extra", F.desc("key"), "hash").select("bucket", "extra", "doc_id", "text")
+    dealt = rows.select("doc_id", "key", "turn", "text", "n", F.posexplode(buckets("key", "turn")).alias("extra", "bucket"))
+    return dealt.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "extra", F.desc("key"), F.desc("turn")).select("bucket", "extra", "doc_id", "text", "n")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -157,14 +169,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str, str]]:
         now, held, closed = None, None, False
         for b in batches:
-            for bucket, extra, doc, text in zip(*(b.column(c).to_pylist() for c in ("bucket", "extra", "doc_id", "text")), strict=True):
+            for bucket, extra, doc, text, n in zip(*(b.column(c).to_pylist() for c in ("bucket", "extra", "doc_id", "text", "n")), strict=True):
                 if bucket != now:
                     now, held, closed = bucket, None, False
                 if closed:
                     continue
                 if held is not None:
+                    for _ in range(held[2] - 1):  # all but the last of equal rows are followed by their like
+                        yield held[0], held[1], held[1]
                     yield held[0], held[1], text
-                held, closed = (doc, text), bool(extra)
+                held, closed = (doc, text, n), bool(extra)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(rows):
