@@ -6,7 +6,8 @@ corpus, are broadcast; every document is compared with all of them by blocked ma
 their cosines as weights. One narrow pass over the documents, no shuffle.
 
 Null and empty texts have no features and score the share of label 1 in the sample's source, ``prior``. Repeated label rows count once
-(the lower label); labels other than 0 and 1 are ignored. Without any label every document scores 0.5. Extra columns pass through ``score``.
+(the lower label); labels other than 0 and 1 are ignored; of rows with one labelled id the one with the least text hash is learnt from. Ties between neighbours fall either way. Without any label every document scores 0.5. An empty table gives no rows. Extra
+columns pass through ``score``. A text of any length is read whole, in blocks.
 """
 
 from __future__ import annotations
@@ -16,38 +17,43 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import held_out, least_hashed, prepare, text_of
+from marlstone.llm.words import Words, rolled
 
 BINS, RANK, PER_CLASS, NEIGHBOURS = 2048, 64, 1500, 15
 #: Occurrences that one repetition counts as.
 REPEAT_WEIGHT = 100
+#: Bytes of a text counted at once.
+BLOCK = 1 << 20
 #: Votes weigh as this power of the cosine.
 SHARPNESS = 4
 
 
-def features(text: str, bins: int = BINS) -> np.ndarray:
-    """Log counts of hashed byte bigrams and trigrams, half of the bins for each. Bin 0 of each half is for repetition: words that follow
+def features(column: pa.Array, names: Words | None = None, bins: int = BINS) -> np.ndarray:
+    """For each text, log counts of hashed byte bigrams and trigrams, half of the bins for each. Bin 0 of each half is for repetition: words that follow
     themselves, runs of five words that the text has had before."""
-    b = np.frombuffer(text.encode(), np.uint8).astype(np.uint32)
-    out = np.zeros(bins, np.float32)
+    texts = pc.fill_null(column, "").cast(pa.large_binary())
+    v, bounds = (names or Words(fold=False)).read(texts)
+    out = np.zeros((len(texts), bins), np.float32)
     half = bins // 2
     shift = np.uint32(32 - (half.bit_length() - 1))
-    if len(b) > 1:
-        two = b[:-1] << np.uint32(8) | b[1:]
-        out[1:half] = np.bincount((two * np.uint32(2654435761)) >> shift, minlength=half)[1:]
-    if len(b) > 2:
-        three = two[:-1] << np.uint32(8) | b[2:]
-        out[half + 1 :] = np.bincount((three * np.uint32(2246822519)) >> shift, minlength=half)[1:]
-    words = np.fromiter(map(hash, text.split()), np.int64)
-    if len(words) > 1:
-        out[0] = REPEAT_WEIGHT * (words[1:] == words[:-1]).sum()
-        if len(words) > 5:
-            with np.errstate(over="ignore"):
-                runs = sum(words[i : len(words) - 4 + i] * np.int64(31**i) for i in range(5))
-            out[half] = REPEAT_WEIGHT * (len(runs) - len(np.unique(runs)))
+    for row, raw, first, last in zip(out, texts, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        b = np.frombuffer(raw.as_buffer(), np.uint8)
+        for i in range(0, len(b) - 1, BLOCK):  # in blocks that overlap by two bytes
+            two = b[i : i + BLOCK + 1].astype(np.uint32)
+            two = two[:-1] << np.uint32(8) | two[1:]
+            row[1:half] += np.bincount((two * np.uint32(2654435761)) >> shift, minlength=half)[1:]
+            three = two[: max(len(b) - 2 - i, 0)]
+            three = three << np.uint32(8) | b[i + 2 : i + 2 + len(three)]
+            row[half + 1 :] += np.bincount((three * np.uint32(2246822519)) >> shift, minlength=half)[1:]
+        words = v[first:last]
+        row[0] = REPEAT_WEIGHT * int((words[1:] == words[:-1]).sum())
+        runs = np.sort(rolled(words, 5)) if len(words) > 5 else words[:0]
+        row[half] = REPEAT_WEIGHT * int((runs[1:] == runs[:-1]).sum())
     return np.log1p(out)
 
 
@@ -65,10 +71,8 @@ class Voter:
         v = x @ self.axes
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        if not len(texts):
-            return np.zeros(0)
-        counts = np.stack([features(t or "") for t in texts])
+    def score(self, texts: pa.Array, names: Words | None = None) -> np.ndarray:
+        counts = features(texts, names)
         out = np.full(len(texts), self.prior)
         full = np.flatnonzero(counts.any(axis=1))
         if len(full) and len(self.labels):
@@ -106,16 +110,20 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, folds: i
     )
     share = known.agg(F.avg("label").alias("prior")).first().prior
     texts = docs.select("doc_id", "text")
+    # at most per_class ids of each label
     wanted = [least_hashed(known.where(F.col("label") == v), per_class, "doc_id") for v in (0, 1)]
-    sample = texts.join(F.broadcast(wanted[0].unionByName(wanted[1])), "doc_id")  # at most 2 * per_class ids
+    sample = texts.join(F.broadcast(wanted[0].unionByName(wanted[1])), "doc_id")
+    # one text for each id, however many rows have it: chosen and counted on the executors
+    sample = sample.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = Words(fold=False)
         for b in batches:
-            rows = [features(t or "").astype(np.float16).tobytes() for t in b.column("text").to_pylist()]
+            rows = [x.tobytes() for x in features(b.column("text"), names).astype(np.float16)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(rows, pa.binary())], names=["doc_id", "label", "counts"])
 
     rows = sample.select("doc_id", "text", F.col("label").cast("int").alias("label")).mapInArrow(counted, "doc_id long, label int, counts binary").toPandas()
-    rows = rows.drop_duplicates(["doc_id", "counts"]).sort_values(["label", "doc_id", "counts"])
+    rows = rows.sort_values(["label", "doc_id"])
     counts = np.stack([np.frombuffer(c, np.float16) for c in rows.counts]).astype(np.float32) if len(rows) else np.zeros((0, BINS), np.float32)
     return fit_voter(counts, rows.label.to_numpy(), 0.5 if share is None else float(share))
 
@@ -126,8 +134,9 @@ def score(docs: DataFrame, voter: Voter) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(voter)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = Words(fold=False)
         for b in batches:
-            got = shared.value.score(b.column("text").to_pylist())
+            got = shared.value.score(b.column("text"), names)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], schema=b.schema.append(pa.field("quality_score", pa.float64())))
 
     return docs.drop("quality_score").mapInArrow(scored, docs.drop("quality_score").schema.add("quality_score", "double"))
