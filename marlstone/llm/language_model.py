@@ -2,24 +2,23 @@
 
 Level 1 holds the sorted 64-bit hashes of all training tokens; a token's id is its rank. A higher level holds the kept n-grams under their context, the entry of the level
 below: monotone pointers give each context's range, and within it the word ids, made monotone by the context's number, are found by successor search. Beside an entry stands its discounted probability in 8
-bits, beside a context the mass left to shorter contexts in 8 bits (interpolated absolute discounting, so that probabilities sum to one whatever is pruned). N-grams of two and more words
+bits (steps of its logarithm, from 1 down to the shard's least), beside a context the mass left to shorter contexts in 8 bits (interpolated absolute discounting, so that probabilities sum to one whatever is pruned). N-grams of two and more words
 are kept from ``MIN_COUNT`` occurrences; all are counted.
 
-Counting goes level by level: a task packs sorted (key, count) runs for each shard of keys, shards are merged, and kept n-grams are range-partitioned by context
-into trie shards, which tasks write to the shared folder. Workers map these files into memory, so that what a worker holds is what it touches. Where the shared folder is no local path, a worker fetches the
-shards once into its own temporary folder. Nothing of the model passes through the driver but a line for each shard.
+Counting goes level by level: a task packs sorted (key, count) runs for each share of the keys, shares are merged, and kept n-grams are range-partitioned by (context, word)
+into trie shards of some ``SHARD_ENTRIES``, which tasks write to the shared folder. A context with more successors than that goes on in the next shard; what each shard has of its first and last context is added up.
+Workers map these files into memory, so that what a worker holds is what it touches, and remember the last answers. Where the shared folder is no local path, an executor fetches a file when one of its workers first needs it
+into the folder that Spark keeps for the executor's files. Nothing of the model passes through the driver but a line for each shard.
 
 Tokens are words (A-Z lower-cased, ended by U+0020 and U+0009 to U+000D) and one end for each text. Null and empty texts are one end. Words are known by their 64-bit
-hash. Repeated rows count and score each time. With no training text every score is that of unknown tokens.
+hash. Repeated rows count and score each time. With no training text every score is that of unknown tokens; an empty table gives no rows. A very long text is read whole, 8 bytes a token in each of a dozen arrays.
 """
 
 from __future__ import annotations
 
-import atexit
 import json
 import math
-import shutil
-import tempfile
+import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,24 +27,25 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import forget, held_out, new_path, prepare, stored
 from marlstone.llm.elias_fano import EliasFano
+from marlstone.llm.words import Words
 
 ORDER, MIN_COUNT, DISCOUNT = 3, 2, 0.75
 #: The hash of a text's end.
 END = np.uint64(0xE4D0E4D0E4D0E4D1)
-#: Bytes hashed together.
-CHUNK_BYTES = 1 << 20
-#: Discounted probabilities are kept as 256 steps of their logarithm down to this.
-FLOOR = -7.0
 #: Keys a task counts before it packs a run.
 RUN_TOKENS = 3_000_000
-#: Trie shards for each shuffle partition.
-SHARDS_PER_PARTITION = 1 / 16
+#: Entries of a trie shard, about.
+SHARD_ENTRIES = 2_000_000
+#: Answers a worker remembers for each level: two to this power.
+MEMORY = 20
+
+_SIGN = np.uint64(1 << 63)
 
 
 def _system(root: str):
@@ -64,33 +64,35 @@ def _write(root: str, name: str, arrays: dict[str, np.ndarray]) -> None:
         system.move(temporary, f"{base}/{name}.{part}.npy")  # whole or not at all, whichever attempt ends first
 
 
-_fetched: dict[str, str] = {}
-
-
-def _local(root: str) -> str:
+def _loaded(root: str, name: str) -> np.ndarray:
+    """A file of the model as a memory map; from a remote store it is fetched once for each executor."""
     from pyarrow import fs
 
     system, base = _system(root)
     if isinstance(system, fs.LocalFileSystem):
-        return base
-    if root not in _fetched:
-        to = tempfile.mkdtemp(prefix="lm-")
-        atexit.register(shutil.rmtree, to, True)
-        fs.copy_files(base, to, source_filesystem=system, destination_filesystem=fs.LocalFileSystem())
-        _fetched[root] = to
-    return _fetched[root]
+        return np.load(f"{base}/{name}.npy", mmap_mode="r")
+    folder = os.path.join(SparkFiles.getRootDirectory(), base.strip("/").replace("/", "_"))
+    if not os.path.exists(path := f"{folder}/{name}.npy"):
+        os.makedirs(folder, exist_ok=True)
+        part = f"{path}.{uuid.uuid4().hex}"
+        fs.copy_files(f"{base}/{name}.npy", part, source_filesystem=system, destination_filesystem=fs.LocalFileSystem())
+        os.replace(part, path)
+    return np.load(path, mmap_mode="r")
 
 
 @dataclass(frozen=True)
 class Shard:
-    """A line for the driver: contexts ``first`` … ``first + contexts - 1`` (hashes for level 1), whose entries are numbered from ``offset``."""
+    """A line for the driver: contexts ``first`` … ``first + contexts - 1`` (hashes for level 1), from word ``word`` of the first one, whose entries are numbered from ``offset``. ``ends``: the mass that
+    the first and the last context leave, all shards together."""
 
     name: str
     first: int
+    word: int
     contexts: int
     offset: int
     n: int
     meta: str
+    ends: tuple[float, float] = (1.0, 1.0)
 
 
 @dataclass(frozen=True)
@@ -111,28 +113,74 @@ class Model:
 _open: dict = {}
 
 
+class _Memory:
+    """The last answers by key, in slots by the key's hash: ``told`` overwrites, ``asked`` says which keys are there."""
+
+    def __init__(self, answers: tuple[type, ...]):
+        self.key = np.zeros(1 << MEMORY, np.int64)
+        self.key[0] = 1  # no slot holds a key of its own at first: 0 belongs to slot 0, and 1 to another
+        self.answers = [np.zeros(1 << MEMORY, k) for k in answers]
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - MEMORY)
+
+    def asked(self, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        slot = self._slots(keys)
+        return np.flatnonzero(self.key[slot] != keys), [a[slot] for a in self.answers]
+
+    def told(self, keys: np.ndarray, answers: list[np.ndarray]) -> None:
+        slot = self._slots(keys)
+        _, last = np.unique(slot[::-1], return_index=True)  # of two keys for a slot one stays
+        own = len(slot) - 1 - last
+        self.key[slot[own]] = keys[own]
+        for a, b in zip(self.answers, answers, strict=True):
+            a[slot[own]] = b[own]
+
+    def through(self, keys: np.ndarray, search) -> list[np.ndarray]:
+        """The answers for all keys; ``search`` gives them for sorted distinct ones that are not remembered."""
+        missing, out = self.asked(keys)
+        if len(missing):
+            each, back = np.unique(keys[missing], return_inverse=True)
+            found = search(each)
+            for a, b in zip(out, found, strict=True):
+                a[missing] = b[back]
+            self.told(each, found)
+        return out
+
+
 class Trie:
     """A model's levels as memory maps."""
 
     def __init__(self, model: Model):
         self.model = model
-        base = _local(model.root)
-        load = lambda shard, part: np.load(f"{base}/{shard.name}.{part}.npy", mmap_mode="r")
-
-        def sequence(shard: Shard, kind: str) -> EliasFano:
-            return EliasFano(**json.loads(shard.meta)[kind], parts={p: load(shard, f"{kind}-{p}") for p in ("low", "high", "ones")})
-
+        self.wide = model.words + 1
         self.levels = []
         for k, shards in enumerate(model.levels):
-            own = [{"shard": s, "ids": sequence(s, "ids"), "counts": load(s, "counts")} | ({"pointers": sequence(s, "pointers"), "alpha": load(s, "alpha"), "rest": load(s, "rest")} if k else {}) for s in shards]
-            self.levels.append((np.array([s.first for s in shards], np.uint64), own))
+            own = [self._opened(s, k) for s in shards]
+            # hashes, or (context, word) as one number
+            starts = np.array([s.first for s in shards], np.uint64) if not k else np.array([s.first * self.wide + s.word + 1 for s in shards], np.int64)
+            self.levels.append((starts, own))
+        self.memory = [_Memory((np.int64, np.int64)), *(_Memory((np.int64, np.float64, np.float64)) for _ in model.levels[1:])]
+
+    def _opened(self, shard: Shard, level: int) -> dict:
+        load, meta = (lambda part: _loaded(self.model.root, f"{shard.name}.{part}")), json.loads(shard.meta)
+
+        def sequence(kind: str) -> EliasFano:
+            return EliasFano(**meta[kind], parts={p: load(f"{kind}-{p}") for p in ("low", "high", "ones")})
+
+        out = {"shard": shard, "ids": sequence("ids"), "counts": load("counts")}
+        return out | {"pointers": sequence("pointers"), "alpha": load("alpha"), "rest": load("rest"), "step": meta["floor"] / 255} if level else out
 
     def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids and counts; -1 and 0 for words not met in training."""
+        return tuple(self.memory[0].through(hashes.view(np.int64), self._words))
+
+    def _words(self, keys: np.ndarray) -> list[np.ndarray]:
+        hashes = keys.view(np.uint64)
         ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
         firsts, own = self.levels[0]
         if not own:
-            return ids, counts
+            return [ids, counts]
         at = np.searchsorted(firsts, hashes, side="right") - 1
         for s in np.unique(at[at >= 0]):
             q = np.flatnonzero(at == s)
@@ -140,40 +188,43 @@ class Trie:
             hit = found >= 0
             ids[q[hit]] = found[hit] + own[s]["shard"].offset
             counts[q[hit]] = own[s]["counts"][found[hit]]
-        return ids, counts
+        return [ids, counts]
 
     def extend(self, level: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Entries of ``level`` (from 1) for contexts and next words, their discounted probability (0 if absent), and the mass each context leaves."""
         n = len(context)
-        index, alpha, rest = np.full(n, -1, np.int64), np.zeros(n), np.ones(n)
-        firsts, own = self.levels[level]
-        if not n or not own:
-            return index, alpha, rest
-        wide = self.model.words + 1
-        pairs, back = np.unique(context * wide + (word + 1), return_inverse=True)
-        c, w = pairs // wide, pairs % wide - 1
-        i2, a2, r2 = np.full(len(c), -1, np.int64), np.zeros(len(c)), np.ones(len(c))
-        at = np.searchsorted(firsts, c.astype(np.uint64), side="right") - 1
-        bounds = np.searchsorted(at, np.arange(len(own) + 1))
-        for s, level_shard in enumerate(own):
-            shard = level_shard["shard"]
-            q = slice(bounds[s], bounds[s + 1])
-            local = c[q] - shard.first
-            keep = np.flatnonzero(local < shard.contexts) + bounds[s]
-            if not len(keep):
-                continue
-            near = c[keep] - shard.first  # sorted
-            new = np.append(True, near[1:] != near[:-1])
-            own_c, which = near[new], np.cumsum(new) - 1
-            begin, end = level_shard["pointers"].access_pairs(own_c)
-            r2[keep] = level_shard["rest"][own_c][which] / 255.0
-            look = np.flatnonzero((end > begin)[which] & (w[keep] >= 0))
-            x = keep[look]
-            found = level_shard["ids"].find((c[x] - shard.first).astype(np.uint64) * np.uint64(self.model.words) + w[x].astype(np.uint64), begin[which[look]], end[which[look]])
+        if not n or not self.levels[level][1]:
+            return np.full(n, -1, np.int64), np.zeros(n), np.ones(n)
+        return tuple(self.memory[level].through(context * self.wide + (word + 1), lambda pairs: self._extend(level, pairs)))
+
+    def _extend(self, level: int, pairs: np.ndarray) -> list[np.ndarray]:
+        """For sorted distinct pairs."""
+        starts, own = self.levels[level]
+        c, w = pairs // self.wide, pairs % self.wide - 1
+        index, alpha, rest = np.full(len(c), -1, np.int64), np.zeros(len(c)), np.ones(len(c))
+        last = np.searchsorted(starts, c * self.wide + (self.wide - 1), side="right") - 1  # the last shard that can hold the context
+        for s in np.unique(last[last >= 0]).tolist():
+            shard = own[s]["shard"]
+            q = np.flatnonzero((last == s) & (c - shard.first < shard.contexts))
+            near = c[q] - shard.first
+            rest[q] = own[s]["rest"][near] / 255.0
+            for end, value in zip((0, shard.contexts - 1), shard.ends, strict=True):
+                rest[q[near == end]] = value
+        at = np.searchsorted(starts, pairs, side="right") - 1
+        for s in np.unique(at[at >= 0]).tolist():
+            part, shard = own[s], own[s]["shard"]
+            q = np.flatnonzero((at == s) & (c - shard.first < shard.contexts) & (w >= 0))
+            near = c[q] - shard.first
+            new = np.append(True, near[1:] != near[:-1]) if len(q) else np.zeros(0, bool)
+            begin, end = part["pointers"].access_pairs(near[new])
+            which = np.cumsum(new) - 1
+            full = np.flatnonzero((end > begin)[which])
+            q, which = q[full], which[full]
+            found = part["ids"].find((c[q] - shard.first).astype(np.uint64) * np.uint64(self.model.words) + w[q].astype(np.uint64), begin[which], end[which])
             hit = found >= 0
-            i2[x[hit]] = found[hit] + shard.offset
-            a2[x[hit]] = 10.0 ** (level_shard["alpha"][found[hit]] * (FLOOR / 255))
-        return i2[back], a2[back], r2[back]
+            index[q[hit]] = found[hit] + shard.offset
+            alpha[q[hit]] = 10.0 ** (part["alpha"][found[hit]] * part["step"])
+        return [index, alpha, rest]
 
     def counts(self, level: int, index: np.ndarray) -> np.ndarray:
         _, own = self.levels[level]
@@ -184,85 +235,16 @@ class Trie:
         return out
 
 
-class _Hasher:
-    """64-bit hashes of the words of a batch, from its bytes at once: sums of letter values times powers of an odd base, of which each word takes a difference and the power of its place divides out."""
-
-    def __init__(self):
-        pick = np.random.default_rng(20)
-        self.letter = pick.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.letter[65:91] = self.letter[97:123]  # A-Z as a-z
-        self.word = np.ones(256, bool)
-        self.word[[9, 10, 11, 12, 13, 32]] = False
-        self.base = int(pick.integers(0, 2**60)) * 8 + 5
-        self.power, self.inverse = np.ones(0, np.uint64), np.ones(0, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if n > len(self.power):
-            n = max(n, CHUNK_BYTES + 1)
-            tables = []
-            for base in (self.base, pow(self.base, -1, 1 << 64)):
-                t = np.full(n, np.uint64(base))
-                t[0] = 1
-                tables.append(np.cumprod(t, dtype=np.uint64))
-            self.power, self.inverse = tables
-
-    def _cuts(self, data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
-        """Chunks that end with a text, or within a long one before a blank."""
-        at, last = int(ends[0]), int(ends[-1])
-        while at < last:
-            cut = int(ends[np.searchsorted(ends, at + CHUNK_BYTES, side="right") - 1])
-            if cut <= at:
-                whole = int(ends[np.searchsorted(ends, at, side="right")])
-                blank = np.flatnonzero(~self.word[data[at + CHUNK_BYTES : whole]][: 1 << 24])
-                cut = at + CHUNK_BYTES + int(blank[0]) if len(blank) else whole
-            yield at, cut
-            at = cut
-
-    def tokens(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The hashes of the tokens of all texts in a row, and where each text starts among them."""
-        texts = pc.fill_null(column, "").cast(pa.large_binary())
-        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-        found, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for a, b in self._cuts(data, offsets):
-            d = data[a:b]
-            self._grow(len(d) + 1)
-            inside = self.word[d]
-            edge = offsets[(offsets > a) & (offsets < b)] - a
-            begins, ends = inside.copy(), inside.copy()
-            begins[1:] &= ~inside[:-1]
-            ends[:-1] &= ~inside[1:]
-            begins[edge] = inside[edge]
-            ends[edge - 1] = inside[edge - 1]
-            s, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-            upto = np.zeros(len(d) + 1, np.uint64)
-            np.cumsum(self.letter[d] * self.power[: len(d)], out=upto[1:])
-            h = (upto[e] - upto[s]) * self.inverse[s] + (e - s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            found.append(h ^ (h >> np.uint64(32)))
-            places.append(s + a)
-        before = np.searchsorted(np.concatenate(places), offsets)
-        return np.insert(np.concatenate(found), before[1:], END), before[:-1] + np.arange(len(texts))
-
-
 class Tokens:
-    """Tokens of a batch as numbers of its distinct ones, with the hash, id and count of each of these."""
+    """The tokens of a batch: words by the hashes of their folded letters, and an end for each text."""
 
-    def __init__(self, trie: Trie | None):
-        self.trie, self.hasher = trie, _Hasher()
+    def __init__(self):
+        self.names = Words(fold=True)
 
     def read(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Token numbers of all texts in a row, and where each text starts."""
-        hashes, starts = self.hasher.tokens(column)
-        order = np.argsort(hashes)
-        each = hashes[order]
-        new = np.append(True, each[1:] != each[:-1]) if len(each) else np.zeros(0, bool)
-        self.hash = each[new]
-        numbers = np.empty(len(hashes), np.int64)
-        numbers[order] = np.cumsum(new) - 1
-        if self.trie:
-            self.id, self.count = self.trie.words(self.hash)
-        return numbers, starts
+        """The hashes of the tokens of all texts in a row, and where each text starts."""
+        v, bounds = self.names.read(column)
+        return np.insert(v, bounds[1:], END), bounds[:-1] + np.arange(len(column))
 
 
 def _before(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -305,7 +287,7 @@ def _runs(docs: DataFrame, model: Model | None, level: int, shards: int) -> Data
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = shared.value.opened() if shared.value else None
-        tokens = Tokens(trie)
+        tokens = Tokens()
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
@@ -322,13 +304,12 @@ def _runs(docs: DataFrame, model: Model | None, level: int, shards: int) -> Data
             return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(runs, pa.binary())], names=["shard", "run"])
 
         for b in batches:
-            numbers, starts = tokens.read(b.column("text"))
+            hashes, starts = tokens.read(b.column("text"))
             if trie is None:
-                c = np.bincount(numbers, minlength=len(tokens.hash))
-                met = np.flatnonzero(c)
-                held.append((tokens.hash[met], c[met].astype(np.uint64)))
+                met, c = np.unique(hashes, return_counts=True)
+                held.append((met, c.astype(np.uint64)))
             else:
-                word = tokens.id[numbers]
+                word, _ = trie.words(hashes)
                 index = word
                 for k in range(1, level):
                     context = _before(index, starts)
@@ -368,15 +349,14 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray
         yield done()
 
 
-_LINES = "name string, first decimal(20,0), contexts long, n long, total long, meta string"
+_LINES = "name string, first decimal(20,0), word long, last decimal(20,0), contexts long, n long, total long, first_mass double, last_mass double, meta string"
 
 
-def _line(name: str, first: int, contexts: int, n: int, total: int, meta: dict) -> pa.RecordBatch:
+def _line(name: str, first: int, word: int, contexts: int, n: int, total: int, masses: tuple[float, float], meta: dict) -> pa.RecordBatch:
     from decimal import Decimal
 
-    return pa.RecordBatch.from_arrays(
-        [pa.array([name]), pa.array([Decimal(first)], pa.decimal128(20, 0)), pa.array([contexts], pa.int64()), pa.array([n], pa.int64()), pa.array([total], pa.int64()), pa.array([json.dumps(meta)])], names=["name", "first", "contexts", "n", "total", "meta"]
-    )
+    values = [(name, pa.string()), (Decimal(first), pa.decimal128(20, 0)), (word, pa.int64()), (Decimal(first + max(contexts, 1) - 1), pa.decimal128(20, 0)), (contexts, pa.int64()), (n, pa.int64()), (total, pa.int64()), (masses[0], pa.float64()), (masses[1], pa.float64()), (json.dumps(meta), pa.string())]
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in values], names=[x.split()[0] for x in _LINES.split(", ")])
 
 
 def _narrow(counts: np.ndarray) -> np.ndarray:
@@ -384,27 +364,51 @@ def _narrow(counts: np.ndarray) -> np.ndarray:
 
 
 def _numbered(lines: list) -> tuple[Shard, ...]:
+    """The shards in order. A context that several shards share leaves what all of them together leave."""
+    mass: dict[int, float] = {}
+    for r in lines:
+        mass[int(r.first)] = mass.get(int(r.first), 0.0) + r.first_mass
+        if r.last != r.first:
+            mass[int(r.last)] = mass.get(int(r.last), 0.0) + r.last_mass
     out, at = [], 0
-    for r in sorted(lines, key=lambda r: int(r.first)):
-        out.append(Shard(r.name, int(r.first), r.contexts, at, r.n, r.meta))
+    for r in sorted(lines, key=lambda r: (int(r.first), r.word)):
+        ends = tuple(max(round((1 - mass[int(x)]) * 255), 1) / 255 for x in (r.first, r.last))
+        out.append(Shard(r.name, int(r.first), r.word, r.contexts, at, r.n, r.meta, ends))
         at += r.n
     return tuple(out)
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray] | None:
+    """A partition's columns, a shard's worth."""
+    held = [b for b in batches if b.num_rows]
+    return [c.to_numpy() for c in pa.Table.from_batches(held).columns] if held else None
+
+
+def _ranged(table: DataFrame, *by: str) -> DataFrame:
+    return table.repartitionByRange(max(1, math.ceil(table.count() / SHARD_ENTRIES)), *by).sortWithinPartitions(*by)
+
+
 def _unigrams(docs: DataFrame, root: str, shards: int) -> Model:
-    ranges = _ranges(shards)
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, keys, counts in _merged(batches):
+            for i in range(0, len(keys), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array((keys[i : i + (1 << 17)] ^ _SIGN).view(np.int64)), pa.array(counts[i : i + (1 << 17)].astype(np.int64))], names=["word", "n"])
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, keys, counts in _merged(batches):
-            meta, parts = EliasFano.encode(keys - ranges[shard])
-            _write(root, f"1-{shard}", {f"ids-{p}": a for p, a in parts.items()} | {"counts": _narrow(counts)})
-            yield _line(f"1-{shard}", int(ranges[shard]), 0, len(keys), int(counts.sum()), {"ids": meta})
-
-    lines = _runs(docs, None, 1, shards).repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(built, _LINES).collect()  # a line for each shard
+        if columns := _whole(batches):
+            keys, counts = columns[0].view(np.uint64) ^ _SIGN, columns[1]
+            name = f"1-{TaskContext.get().partitionId()}"
+            meta, parts = EliasFano.encode(keys - keys[0])
+            _write(root, name, {f"ids-{p}": a for p, a in parts.items()} | {"counts": _narrow(counts)})
+            yield _line(name, int(keys[0]), 0, 0, len(keys), int(counts.sum()), (0.0, 0.0), {"ids": meta})
+
+    table = stored(_runs(docs, None, 1, shards).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(kept, "word long, n long"), "lm-kept")
+    lines = _ranged(table, "word").mapInArrow(built, _LINES).collect()  # a line for each shard
+    forget(table)
     return Model(root, sum(r.total for r in lines), sum(r.n for r in lines), (_numbered(lines),))
 
 
-def _next_level(docs: DataFrame, model: Model, shards: int, trie_shards: int, min_count: int) -> Model:
+def _next_level(docs: DataFrame, model: Model, shards: int, min_count: int) -> Model:
     level = len(model.levels)
     contexts = sum(s.n for s in model.levels[-1])
     if (contexts + 1) * (model.words + 1) >= 2**63:
@@ -421,52 +425,51 @@ def _next_level(docs: DataFrame, model: Model, shards: int, trie_shards: int, mi
                 yield pa.RecordBatch.from_arrays([pa.array((k // words).astype(np.int64)), pa.array((k % words).astype(np.int64)), pa.array(c.astype(np.int64))], names=["context", "word", "n"])
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
+        columns = _whole(batches)
+        if not columns:
             return
-        t = pa.Table.from_batches(held)
-        c, w, n = (t.column(x).to_numpy() for x in ("context", "word", "n"))
+        c, w, n = columns
         first = int(c[0])
         local = c - first
         sizes = np.bincount(local)
-        below = shared.value.opened().counts(level - 1, np.unique(c))
+        below = shared.value.opened().counts(level - 1, c[np.append(True, c[1:] != c[:-1])])
         total = np.ones(len(sizes), np.int64)
         total[np.flatnonzero(sizes)] = below
         alpha = (n - DISCOUNT) / total[local]
-        rest = 1 - np.bincount(local, weights=alpha, minlength=len(sizes))
+        mass = np.bincount(local, weights=alpha, minlength=len(sizes))
+        floor = min(float(np.log10(alpha.min())), -1e-6)
         ids, id_parts = EliasFano.encode(local.astype(np.uint64) * words + w.astype(np.uint64))
         pointers, pointer_parts = EliasFano.encode(np.concatenate([[0], np.cumsum(sizes)]))
         arrays = {f"ids-{p}": a for p, a in id_parts.items()} | {f"pointers-{p}": a for p, a in pointer_parts.items()}
-        arrays |= {"alpha": np.clip(np.rint(np.log10(alpha) * (255 / FLOOR)), 0, 255).astype(np.uint8), "rest": np.clip(np.rint(rest * 255), 1, 255).astype(np.uint8), "counts": _narrow(n)}
+        arrays |= {"alpha": np.clip(np.rint(np.log10(alpha) * (255 / floor)), 0, 255).astype(np.uint8), "rest": np.clip(np.rint((1 - mass) * 255), 1, 255).astype(np.uint8), "counts": _narrow(n)}
         name = f"{level + 1}-{TaskContext.get().partitionId()}"
         _write(model.root, name, arrays)
-        yield _line(name, first, len(sizes), len(n), int(n.sum()), {"ids": ids, "pointers": pointers})
+        yield _line(name, first, int(w[0]), len(sizes), len(n), int(n.sum()), (float(mass[0]), float(mass[-1])), {"ids": ids, "pointers": pointers, "floor": floor})
 
-    counted = _runs(docs, model, level, shards).repartition(shards, "shard").sortWithinPartitions("shard")
+    counted = _runs(docs, model, level, shards).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
     table = stored(counted.mapInArrow(kept, "context long, word long, n long"), "lm-kept")
-    lines = table.repartitionByRange(trie_shards, "context").sortWithinPartitions("context", "word").mapInArrow(built, _LINES).collect()  # a line for each shard
+    lines = _ranged(table, "context", "word").mapInArrow(built, _LINES).collect()  # a line for each shard
     forget(table)
     return Model(model.root, model.tokens, model.words, (*model.levels, _numbered(lines)))
 
 
 def fit(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -> Model:
-    """Learn from all rows of ``docs``. Shards follow ``spark.sql.shuffle.partitions``, which is sized to the data."""
+    """Learn from all rows of ``docs``. Shares of the counting follow ``spark.sql.shuffle.partitions``, which is sized to the data."""
     spark = docs.sparkSession
     prepare(spark)
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    trie_shards = max(1, math.ceil(shards * SHARDS_PER_PARTITION))
-    model = _unigrams(docs, new_path(spark, "lm"), trie_shards)
+    model = _unigrams(docs, new_path(spark, "lm"), shards)
     for _ in range(1, order):
-        model = _next_level(docs, model, shards, trie_shards, min_count)
+        model = _next_level(docs, model, shards, min_count)
     return model
 
 
-def score_texts(model: Model, tokens: Tokens, texts: pa.Array) -> tuple[np.ndarray, ...]:
+def score_texts(model: Model, trie: Trie, tokens: Tokens, texts: pa.Array) -> tuple[np.ndarray, ...]:
     """Tokens, known tokens, base score and model score of each text."""
     if not len(texts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
-    numbers, starts = tokens.read(texts)
-    count, word = tokens.count[numbers], tokens.id[numbers]
+    hashes, starts = tokens.read(texts)
+    word, count = trie.words(hashes)
     p = (count + 0.5) / (model.tokens + 0.5 * (model.words + 1))
     base = np.log10(p)
     index = word
@@ -474,9 +477,9 @@ def score_texts(model: Model, tokens: Tokens, texts: pa.Array) -> tuple[np.ndarr
         context = _before(index, starts)
         index = np.full(len(word), -1, np.int64)
         q = np.flatnonzero(context >= 0)
-        index[q], alpha, rest = tokens.trie.extend(level, context[q], word[q])
+        index[q], alpha, rest = trie.extend(level, context[q], word[q])
         p[q] = alpha + rest * p[q]
-    lengths = np.diff(np.append(starts, len(numbers)))
+    lengths = np.diff(np.append(starts, len(hashes)))
     return lengths, np.add.reduceat((count > 0).astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(np.log10(p), starts)
 
 
@@ -488,10 +491,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     rest = [c for c in docs.columns if c != "text" and c not in added]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        tokens = Tokens(model.opened())
+        model, tokens = shared.value, Tokens()
+        trie = model.opened()
         for b in batches:
-            got = score_texts(model, tokens, b.column("text"))
+            got = score_texts(model, trie, tokens, b.column("text"))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *map(pa.array, got)], names=[*rest, *added])
 
     schema = docs.select(*rest).schema
