@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -42,8 +43,40 @@ def test_against_brute_force(documents, awkward, items):
 
 
 def test_proximity(documents):
-    index = D.postings(D.keyed(documents([(1, "alpha x x beta"), (2, "beta x alpha"), (3, "alpha x x x beta"), (4, "alpha")])))
-    assert sorted((r.doc_id, r.at) for r in D.proximity_matches(index, ["alpha", "beta"], 3).collect()) == [(1, 0), (2, 2)]
+    docs = D.keyed(documents([(1, "alpha x x beta"), (2, "beta x alpha"), (3, "alpha x x x beta"), (4, "alpha")]))
+    names = {r.doc: r.doc_id for r in docs.collect()}
+    assert sorted((names[r.doc], r.at) for r in D.proximity_matches(D.postings(docs), ["alpha", "beta"], 3).collect()) == [(1, 0), (2, 2)]
+
+
+def brute_near(docs, rows):
+    """For each row, the number of items whose three rarest terms stand within ten words of the rarest, by loops over all positions."""
+    texts = [words(t) for _, t in docs]
+    count = Counter(w for t in texts for w in t)
+    out = [0] * len(docs)
+    for _, text in rows:
+        x = words(text)
+        rare = sorted({w for w in x if count[w]}, key=lambda w: (count[w], x.index(w)))[: D.NEAR]
+        for i, t in enumerate(texts):
+            at = {w: [p for p, y in enumerate(t) if y == w] for w in rare}
+            out[i] += bool(rare) and any(all(any(abs(p - q) <= D.SLOP for q in at[w]) for w in rare) for p in at[rare[0]])
+    return out
+
+
+def test_near_items_against_brute_force(documents, items):
+    rows, table = items
+    pick = random.Random(7)
+    docs = [(i, " ".join(f"w{pick.randrange(26)}" if pick.random() < 0.5 else pick.choice(["x", "short", "item", "a"]) for _ in range(pick.randrange(90)))) for i in range(80)]
+    got = {r.doc_id: r.n_near for r in D.mark(documents(docs), table).collect()}
+    want = brute_near(docs, rows)
+    assert [got[d] for d, _ in docs] == want and len(set(want)) > 2
+
+
+def test_very_long_texts(documents, items):
+    rows, table = items
+    long = "v w x y z " * 2_000_000
+    docs = [(1, long + rows[0][1]), (2, "q" * 1_000_000 + " short item here")]
+    got = {r.doc_id: (r.n_words, r.n_hit, list(r.items)) for r in D.mark(documents(docs), table).collect()}
+    assert got == {1: (10_000_025, 25, ["10", "7"]), 2: (4, 3, ["2", "6"])}
 
 
 def test_empty_tables(documents, items):
@@ -53,6 +86,5 @@ def test_empty_tables(documents, items):
 
 
 def test_no_python_in_the_plan(documents, items):
-    docs = D.keyed(documents([(1, "x")]))
-    plan = D.postings(docs, items[1].select("text").withColumnRenamed("text", "term"))._jdf.queryExecution().executedPlan().toString()
+    plan = D.mark(documents([(1, "x")]), items[1])._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
