@@ -9,7 +9,7 @@ Four rounds, in which pairs that are in one component already are left out:
 1. the SimHash links, and stars at a few of each text's prefix shingles: a member of a shingle's group is tied to the first of its size class and of the class below, in an order that the shingle shuffles;
 2. stars at some more;
 3. stars at all prefix shingles;
-4. all pairs at all prefix shingles whose sizes and places allow the similarity. This round is exact by itself; those before leave it little to do, also in families of thousands.
+4. all pairs at those prefix shingles whose texts are still in different components, as far as sizes, places and sketches allow the similarity. This round is exact by itself; those before leave it little to do, also in families of thousands.
 
 A pair is refused without its sets only by proof: *odd sketches* (a bit for each slot, flipped by each shingle that falls there) differ in no more bits than the sets do in shingles. All others are compared by their whole sets.
 
@@ -36,8 +36,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 EARLY = (4, 16)
 #: Up to so many texts are picked by a broadcast of their hashes.
 MAX_BROADCAST_ROWS = 500_000
-#: Members of a group that is no large one.
-FEW = 64
+#: Members of a group that is no large one, and slots of the smallest odd sketch.
+FEW, SLOTS = 64, 2048
 RUN_ROWS = 2_000_000
 #: Texts sampled for the common shingles, how many of them must hold one, and how many shingles are told apart as common.
 SAMPLE, COMMON, MOST_COMMON = 10_000, 5, 200_000
@@ -79,19 +79,28 @@ def prefix(hashes: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
 
 
 def odd_sketch(hashes: np.ndarray) -> np.ndarray:
-    """A bit for each of at least eight times as many slots as the set has members (a power of two), in bytes: whether an odd number of members falls there."""
-    slots = 64 if len(hashes) <= 8 else 8 << (len(hashes) - 1).bit_length()
+    """A bit for each of at least eight times as many slots as the set has members (a power of two, and ``SLOTS`` at least), in bytes: whether an odd number of members falls there."""
+    slots = max(SLOTS, 8 << max(len(hashes) - 1, 0).bit_length())
     at = (hashes >> np.uint64(7)) & np.uint64(slots - 1)
     return np.packbits(np.bincount(at.astype(np.int64), minlength=slots).astype(np.uint8) & 1, bitorder="little")
 
 
+def folded(odd: np.ndarray, size: int = 0) -> np.ndarray:
+    """An odd sketch of as many bytes as asked for (of ``SLOTS`` bits if not said), from a larger one."""
+    while len(odd) > (size or SLOTS // 8):
+        odd = odd[: len(odd) // 2] ^ odd[len(odd) // 2 :]
+    return odd
+
+
 def least_difference(a: np.ndarray, b: np.ndarray) -> int:
-    """In how many members two sets differ at least, from their odd sketches; a larger sketch is folded to the size of the smaller."""
-    while len(a) > len(b):
-        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-    return int(np.bitwise_count(a ^ b).sum())
+    """In how many members two sets differ at least, from their odd sketches."""
+    size = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum())
+
+
+def most_difference(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """In how many members similar sets of these sizes differ at most."""
+    return (n + m) * (1 - similarity) / (1 + similarity) + 1e-6
 
 
 def common_shingles(docs: DataFrame, size: int) -> Common:
@@ -141,6 +150,8 @@ def read_once(docs: DataFrame, size: int, similarity: float, common: Common) ->
 
 
 _ENTRY = {"key": "<u8", "words": "<i8", "root": "<i8", "n": "<i4", "pos": "<i4"}
+_LAST = _ENTRY | {"odd": f"V{SLOTS // 8}"}
+_OPEN = {"words": "<i8", "key": "<u8", "pos": "<i4"}
 _PAIR = {"a": "<i8", "b": "<i8"}
 
 
@@ -169,7 +180,7 @@ def _by_share(batches: Iterator[pa.RecordBatch], kinds: dict[str, str]) -> Itera
         yield [np.frombuffer(b"".join(blobs), k) for blobs, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)]
 
 
-def star_pairs(key: np.ndarray, words: np.ndarray, root: np.ndarray, n: np.ndarray, pos: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def star_pairs(key: np.ndarray, words: np.ndarray, root: np.ndarray, n: np.ndarray, _: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Every member of a key's group with the first of its size class and of the class below."""
     level = (np.log(np.maximum(n, 1)) / -math.log(similarity) + 1e-9).astype(np.int32)
     turn = mixed(key ^ words.view(np.uint64))
@@ -187,25 +198,30 @@ def star_pairs(key: np.ndarray, words: np.ndarray, root: np.ndarray, n: np.ndarr
         yield words[center[good]], words[good]
 
 
-def all_pairs(key: np.ndarray, words: np.ndarray, root: np.ndarray, n: np.ndarray, pos: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of different roots within each key whose sizes and places allow the similarity when the key is the first shingle they share. A member of a large group meets those of other roots than the largest one only once."""
+def all_pairs(key: np.ndarray, words: np.ndarray, root: np.ndarray, n: np.ndarray, pos: np.ndarray, odd: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of different roots within each key whose sizes, places and sketches allow the similarity when the key is the first shingle they share. A member of a large group meets those of other roots than the largest one only once."""
     order = np.argsort(key, kind="stable")
     key, words, root, n, pos = key[order], words[order], root[order], n[order], pos[order]
+    bits = odd[order].view(np.uint64).reshape(len(key), -1)
 
     def able(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         most = np.minimum(n[i] - pos[i], n[j] - pos[j])
-        return (root[i] != root[j]) & (most >= similarity / (1 + similarity) * (n[i] + n[j]) - 1e-6) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6)
+        good = (root[i] != root[j]) & (most >= similarity / (1 + similarity) * (n[i] + n[j]) - 1e-6) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6)
+        at = np.flatnonzero(good)
+        good[at] = np.bitwise_count(bits[i[at]] ^ bits[j[at]]).sum(axis=1) <= most_difference(n[i[at]], n[j[at]], similarity)
+        return good
 
     edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     size = np.diff(edge, append=len(key))
-    held, many = [], 0
     small = np.repeat(size <= FEW, size)
     for hop in range(1, min(FEW, len(key))):
         i = np.flatnonzero(small[:-hop] & (key[:-hop] == key[hop:]))
         if not len(i):
             break
-        i = i[able(i, i + hop)]
-        held.append((words[i], words[i + hop]))
+        for at in range(0, len(i), 1 << 17):
+            x = i[at : at + (1 << 17)]
+            x = x[able(x, x + hop)]
+            yield words[x], words[x + hop]
     for start, count in zip(edge[size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
         member = np.arange(start, start + count)
         _, of, each = np.unique(root[member], return_inverse=True, return_counts=True)
@@ -214,68 +230,124 @@ def all_pairs(key: np.ndarray, words: np.ndarray, root: np.ndarray, n: np.ndarra
         for k, x in enumerate(others.tolist()):
             y = np.concatenate([rest, others[k + 1 :]])
             y = y[able(np.full(len(y), x), y)]
-            held.append((np.full(len(y), words[x]), words[y]))
-            many += len(y)
-            if many >= RUN_ROWS:
-                yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
-                held, many = [], 0
-    if held:
-        yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
-
+            yield np.full(len(y), words[x]), words[y]
 
-Pairing = Callable[..., Iterator[tuple[np.ndarray, np.ndarray]]]
 
-
-def meeting(own: DataFrame, tied: DataFrame | None, pairing: Pairing, similarity: float, few: int | None = None) -> DataFrame:
-    """Distinct pairs (a, b) of different roots that meet at a prefix shingle. ``own``: (words, n, prefix), ``tied``: (node, root), ``few``: at about so many shingles of each text only."""
-    parts = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _dealt(rows: DataFrame, few: int | None, kinds: dict[str, str], parts: int) -> DataFrame:
+    """(share, …): the entries of ``rows`` (words, root, n, prefix or key and pos, odd) for each share of the keys."""
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, many = [], 0
 
         def flush() -> pa.RecordBatch:
             columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-            return _packed(((columns[0] >> np.uint64(20)) % np.uint64(parts)).astype(np.int64), parts, columns, _ENTRY)
+            return _packed(((columns[0] >> np.uint64(20)) % np.uint64(parts)).astype(np.int64), parts, columns, kinds)
 
         for b in batches:
-            for words, root, n, first in zip(*(b.column(c).to_pylist() for c in ("words", "root", "n", "prefix")), strict=True):
-                key = np.frombuffer(first, np.uint64)
-                pos = np.arange(len(key), dtype=np.int32)
-                if few is not None and len(key) > few:
-                    pos = np.flatnonzero(mixed(key) < np.uint64(min(few / len(key), 1.0) * 2**63) * np.uint64(2)).astype(np.int32)
+            for r in b.to_pylist():
+                if "prefix" in r:
+                    key = np.frombuffer(r["prefix"], np.uint64)
+                    pos = np.arange(len(key), dtype=np.int32)
+                    if few is not None and len(key) > few:
+                        pos = np.flatnonzero(mixed(key) < np.uint64(min(few / len(key), 1.0) * 2**63) * np.uint64(2)).astype(np.int32)
+                        key = key[pos]
+                else:
+                    key, pos = np.frombuffer(r["key"], np.uint64), np.frombuffer(r["pos"], np.int32)
                 m = len(pos)
-                held.append((key[pos], np.full(m, words, np.int64), np.full(m, root, np.int64), np.full(m, n, np.int32), pos))
-                many += m
-            if many >= RUN_ROWS:
+                held.append((key, np.full(m, r["words"], np.int64), np.full(m, r["root"], np.int64), np.full(m, r["n"], np.int32), pos))
+                if "odd" in kinds:
+                    held[-1] += (np.repeat(folded(np.frombuffer(r["odd"], np.uint8)).view(kinds["odd"]), m),)
+                many += m * len(kinds)
+            if many >= RUN_ROWS * len(_ENTRY):
                 yield flush()
                 held, many = [], 0
         if many:
             yield flush()
 
+    return rows.mapInArrow(dealt, _schema(kinds)).repartitionById(parts, F.col("share"))
+
+
+def _mixed(key: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """The entries whose key has members of several roots, in the order of keys."""
+    order = np.argsort(key, kind="stable")
+    edge = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+    several = np.maximum.reduceat(root[order], edge) != np.minimum.reduceat(root[order], edge)
+    return order[np.repeat(several, np.diff(edge, append=len(key)))]
+
+
+Pairs = Iterator[tuple[np.ndarray, np.ndarray]]
+
+
+def _distinct_pairs(runs: DataFrame, kinds: dict[str, str], pairing: Callable[..., Pairs], parts: int) -> DataFrame:
+    """Distinct (a, b), from the pairs of each share's entries."""
+
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, words, root, n, pos in _by_share(batches, _ENTRY):
-            # keys whose members all have one root, most of them a single member, have nothing to pair
-            order = np.argsort(key, kind="stable")
-            edge = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
-            mixed_ = np.maximum.reduceat(root[order], edge) != np.minimum.reduceat(root[order], edge)
-            use = order[np.repeat(mixed_, np.diff(edge, append=len(key)))]
-            for x, y in pairing(key[use], words[use], root[use], n[use], pos[use], similarity) if len(use) else ():
-                a, b = np.minimum(x, y), np.maximum(x, y)
-                yield _packed(((a ^ b).view(np.uint64) % np.uint64(parts)).astype(np.int64), parts, [a, b], _PAIR)
+        for columns in _by_share(batches, kinds):
+            use = _mixed(columns[0], columns[2])
+            held, many = [], 0
+            for x, y in pairing(*(c[use] for c in columns)) if len(use) else ():
+                held.append((np.minimum(x, y), np.maximum(x, y)))
+                many += len(x)
+                if many >= RUN_ROWS:
+                    yield told(held)
+                    held, many = [], 0
+            if many:
+                yield told(held)
+
+    def told(held: list) -> pa.RecordBatch:
+        a, b = _once(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        return _packed(((a ^ b).view(np.uint64) % np.uint64(parts)).astype(np.int64), parts, [a, b], _PAIR)
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in _by_share(batches, _PAIR):
-            order = np.lexsort((b, a))
-            a, b = a[order], b[order]
-            new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _once(a, b)], names=["a", "b"])
 
-    named = own.select("words", "n", "prefix", F.col("words").alias("root")) if tied is None else _rooted(own.select("words", "n", "prefix"), tied)
-    runs = named.mapInArrow(dealt, _schema(_ENTRY)).repartitionById(parts, F.col("share"))
     return runs.mapInArrow(paired, _schema(_PAIR)).repartitionById(parts, F.col("share")).mapInArrow(opened, "a long, b long")
 
 
-def _rooted(rows: DataFrame, tied: DataFrame) -> DataFrame:
+def _once(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.zeros(0, bool)
+    return a[new], b[new]
+
+
+def stars(own: DataFrame, tied: DataFrame | None, similarity: float, few: int | None = None) -> DataFrame:
+    """Distinct pairs (a, b) of different roots by stars at the prefix shingles. ``own``: (words, n, prefix), ``tied``: (node, root), ``few``: at about so many shingles of each text only."""
+    parts = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = _dealt(_rooted(own.select("words", "n", "prefix"), tied), few, _ENTRY, parts)
+    return _distinct_pairs(runs, _ENTRY, lambda *columns: star_pairs(*columns, similarity), parts)
+
+
+def remaining(own: DataFrame, tied: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) of different roots that can be similar: the exact prefix join. ``own``: (words, n, odd, prefix). Sketches go only to shingles whose texts have several roots."""
+    parts = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def still_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, words, root, _, pos in _by_share(batches, _ENTRY):
+            use = _mixed(key, root)
+            if len(use):
+                yield _packed((mixed(words[use].view(np.uint64)) % np.uint64(parts)).astype(np.int64), parts, [words[use], key[use], pos[use]], _OPEN)
+
+    def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, key, pos in _by_share(batches, _OPEN):
+            order = np.argsort(words, kind="stable")
+            words, key, pos = words[order], key[order], pos[order]
+            cuts = np.append(np.flatnonzero(np.append(True, words[1:] != words[:-1])), len(words))
+            for i in range(0, len(cuts) - 1, 4096):
+                c = cuts[i : i + 4097].tolist()
+                lists = [[x[a:b].tobytes() for a, b in zip(c[:-1], c[1:], strict=True)] for x in (key, pos)]
+                yield pa.RecordBatch.from_arrays([pa.array(words[c[:-1]]), pa.array(lists[0], pa.binary()), pa.array(lists[1], pa.binary())], names=["words", "key", "pos"])
+
+    runs = _dealt(_rooted(own.select("words", "n", "prefix"), tied), None, _ENTRY, parts)
+    open_ = runs.mapInArrow(still_open, _schema(_OPEN)).repartitionById(parts, F.col("share")).mapInArrow(of_texts, "words long, key binary, pos binary")
+    last = _dealt(_rooted(open_.join(own.select("words", "n", "odd"), "words"), tied), None, _LAST, parts)
+    return _distinct_pairs(last, _LAST, lambda *columns: all_pairs(*columns, similarity), parts)
+
+
+def _rooted(rows: DataFrame, tied: DataFrame | None) -> DataFrame:
+    if tied is None:
+        return rows.withColumn("root", F.col("words"))
     return rows.join(tied.withColumnRenamed("node", "words"), "words", "left").withColumn("root", F.coalesce("root", "words"))
 
 
@@ -302,7 +374,7 @@ def checked(pairs: DataFrame, own: DataFrame, docs: DataFrame, rows: DataFrame,
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = zip(*(b.column(c).to_pylist() for c in ("oa", "ob", "na", "nb")), strict=True)
-            good = [least_difference(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) <= (n + m) * (1 - similarity) / (1 + similarity) + 1e-6 for x, y, n, m in rows]
+            good = [least_difference(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) <= most_difference(n, m, similarity) for x, y, n, m in rows]
             yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +406,7 @@ def groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY)
     named = stored(own.groupBy("fp").agg(F.min("words").alias("w")), "similar-fp")
     near = links(named.select("fp")).join(named.select(F.col("fp").alias("a"), F.col("w").alias("wa")), "a").join(named.select(F.col("fp").alias("b"), F.col("w").alias("wb")), "b").select(F.col("wa").alias("a"), F.col("wb").alias("b"))
     same = own.join(named, "fp").where("words <> w").select(F.col("w").alias("a"), F.col("words").alias("b"))
-    first = near.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(meeting(own, None, star_pairs, similarity, EARLY[0])).distinct()
+    first = near.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(stars(own, None, similarity, EARLY[0])).distinct()
 
     def grown(pairs: DataFrame, before: DataFrame | None) -> DataFrame:
         """The components after a round: the tree edges of those before and the round's similar pairs."""
@@ -344,8 +416,9 @@ def groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY)
         return components(edges if before is None else edges.unionByName(before.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
     tied = grown(first, None)
-    for pairing, few in ((star_pairs, EARLY[1]), (star_pairs, None), (all_pairs, None)):
-        tied = grown(meeting(own, tied, pairing, similarity, few), tied)
+    for few in (EARLY[1], None):
+        tied = grown(stars(own, tied, similarity, few), tied)
+    tied = grown(remaining(own, tied, similarity), tied)
     forget(named)
     return _rooted(rows.select("doc_id", "text_hash", "words"), tied).select("doc_id", "text_hash", "root")
 

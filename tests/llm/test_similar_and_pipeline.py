@@ -129,3 +129,57 @@ def test_few_similar_partners_in_a_large_family(documents):
         a, b = sets_of(rows[-2][1]), sets_of(rows[-1][1])
         assert len(a & b) / len(a | b) >= M.SIMILARITY
     assert all(pairs_grouped(M.groups(documents(rows)), pairs))
+
+
+def test_very_long_texts(documents):
+    pick = random.Random(24)
+    long = [f"w{pick.randrange(10**5)}" for _ in range(1_500_000)]
+    other = list(long)
+    for i in range(0, 1_500_000, 60):  # a shingle in twelve changes: similarity 0.846
+        other[i] = "z"
+    rows = [(1, " ".join(long)), (2, " ".join(other)), (3, "x" * 1_000_000), (4, "X" * 1_000_000)]
+    got = {r.doc_id: r.root for r in M.groups(documents(rows)).collect()}
+    assert got[1] == got[2] != got[3] == got[4]
+
+
+def test_odd_sketches_never_say_too_much():
+    pick = np.random.default_rng(25)
+    for n in (0, 1, 5, 40, 300, 3000):
+        for share in (0.0, 0.5, 0.9, 1.0):
+            a = M.unique(pick.integers(0, 2**63, n, dtype=np.uint64))
+            b = M.unique(np.concatenate([a[: int(share * len(a))], pick.integers(0, 2**63, int(n * pick.random()), dtype=np.uint64)]))
+            assert M.least_difference(M.odd_sketch(a), M.odd_sketch(b)) <= len(np.setxor1d(a, b))
+
+
+def test_a_family_of_near_copies_loses_no_link(documents):
+    """2,500 texts of one family, most of whose pairs lie just below the threshold: components against those of all pairs."""
+    pick = random.Random(26)
+    base = made_words(pick, 150)
+    rows = []
+    for i in range(2500):
+        w = list(base)
+        for s in pick.sample(range(30), pick.choice([1, 2, 3, 4, 5, 6])):
+            w[5 * s + 2] = pick.choice("bcdfg") + str(s)
+        rows.append((i, " ".join(w)))
+    sets = [sets_of(t) for _, t in rows]
+    names = {s: k for k, s in enumerate({x for y in sets for x in y})}
+    matrix = np.zeros((len(rows), len(names)), np.float32)
+    for i, s in enumerate(sets):
+        matrix[i, [names[x] for x in s]] = 1
+    size = matrix.sum(axis=1)
+    shared = matrix @ matrix.T
+    similar = shared >= M.SIMILARITY * (size[:, None] + size[None, :] - shared) - 1e-3
+    root = np.arange(len(rows))
+    while True:
+        new = np.array([root[similar[i]].min() for i in range(len(rows))])
+        if (new == root).all():
+            break
+        root = new
+    got = {}
+    for r in M.groups(documents(rows)).collect():
+        got.setdefault(r.root, set()).add(r.doc_id)
+    want = {}
+    for i, r in enumerate(root.tolist()):
+        want.setdefault(r, set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert len(want) > 5
