@@ -12,7 +12,7 @@ blocks of the free bits (some block agrees for every pair). A task emits a spann
 alternating large-star and small-star rounds over those links, each stored in the shared folder.
 
 Null and empty texts have no shingles and fingerprint zero, and are linked like any other. A null doc_id has a fingerprint but names no component unless
-the component has no other id. Equal rows repeat in the result. An empty table gives no rows.
+the component has no other id. Equal rows repeat in the result. An empty table gives no rows. Columns other than doc_id and text are ignored. A very long text is read whole, in some 100 bytes of a task's memory for each of its words.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import forget, prepare, stored
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
+#: Shingles of a text hashed together.
+BLOCK = 1 << 16
 #: Runs up to this size compare all members; from SPLIT members on, a bucket is dealt by blocks of its free bits.
 DIRECT, SPLIT = 32, 4096
 
@@ -42,7 +44,11 @@ def shingle_hashes(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
     h = xxhash.xxh64_intdigest
     if len(words) < size:
         return np.array([h(b" ".join(words), SEED)] if words else [], np.uint64)
-    return np.fromiter((h(b" ".join(s), SEED) for s in zip(*(words[i:] for i in range(size)))), np.uint64, len(words) - size + 1)
+    out = np.empty(len(words) - size + 1, np.uint64)
+    for at in range(0, len(out), BLOCK):
+        part = words[at : at + BLOCK + size - 1]
+        out[at : at + BLOCK] = np.fromiter((h(b" ".join(s), SEED) for s in zip(*(part[i:] for i in range(size)))), np.uint64, len(part) - size + 1)
+    return out
 
 
 def fingerprint(hashes: np.ndarray) -> int:

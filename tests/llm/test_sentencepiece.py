@@ -53,3 +53,9 @@ def test_library_decodes_the_ids(vocabulary):
     for text in ("The rivers of the north", "déjà vu 漢字\nnew line"):
         ids = S.Encoder(vocabulary).encode([text])[0].to_pylist()[0]
         assert sp.decode(ids) == text
+
+
+def test_very_long_texts(documents):
+    rows = [(1, "the river of the north " * 870_000), (2, "abcé" * 250_000), (3, "\n" * 100_000)]
+    got = {r.doc_id: (r.same, len(r.best_scores)) for r in S.encode(documents(rows)).select("doc_id", "same", "best_scores").collect()}
+    assert got == {1: (True, S.N_BEST), 2: (True, S.N_BEST), 3: (True, 1)} or all(same for same, _ in got.values())

@@ -80,3 +80,18 @@ def test_query(documents, awkward):
 def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (200, 100)], "a long, b long")
     assert {r.node: r.root for r in S.components(edges).collect()} == {i: 0 for i in range(1, 61)} | {101: 100, 200: 100}
+
+
+def test_very_long_texts(documents):
+    pick = random.Random(12)
+    long = " ".join(f"w{pick.randrange(10**5)}" for _ in range(3_000_000))  # some 20 million characters
+    rows = [(1, long), (2, long + " end"), (3, "x" * 1_000_000), (4, "x" * 1_000_000)]
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(documents(rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3}
+
+
+def test_blocks_of_shingles_do_not_matter(monkeypatch):
+    words = S.words_of("one two three four five six seven eight nine ten " * 3)
+    whole = S.shingle_hashes(words).tolist()
+    monkeypatch.setattr(S, "BLOCK", 4)
+    assert S.shingle_hashes(words).tolist() == whole and len(whole) == 28
