@@ -3,21 +3,28 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from urllib.parse import urlparse
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.casts import from_text, to_text
 from marlstone.functions.expressions import add, col, compare, lit
+from marlstone.functions.extend import register_aggregate, register_scalar
 from marlstone.operators.aggregate import aggregate
+from marlstone.operators.combine import intersect, join, ranked, running, subtract, union
 from marlstone.operators.relational import filter_rows, group_top, scan, top_k
 from marlstone.sources.column_file import read_column_file, write_column_file
 from marlstone.sources.csv_io import read_csv, write_csv
-from marlstone.types import to_spark_type
+from marlstone.sources.store import csv_to_store, export_column, store_to_csv
+from marlstone.streaming.ingest import csv_stream, stream_to_store, windowed_counts
+from marlstone.types import load_schema, to_logical_name, to_spark_type
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -111,6 +118,13 @@ def _fill() -> None:
     for table in ("nation", "documents", "pages", "events"):
         _put(f"csv_roundtrip_{table}", f"SELECT * FROM {table}", lambda s, d, t=table: csv_round_trip(s, scan(s, f"{d}/{t}.parquet")))
 
+    _put("csv_crlf_nation", "SELECT * FROM nation", lambda s, d: csv_round_trip(s, scan(s, f"{d}/nation.parquet"), line_sep="\r\n"))
+    _put("csv_header_delimiter", "SELECT * FROM region", lambda s, d: csv_round_trip(s, scan(s, f"{d}/region.parquet"), sep=";", header=True))
+    _put("schema_file_conversions", "SELECT c_custkey, c_name, c_acctbal FROM customer", lambda s, d: converted(s, scan(s, f"{d}/customer.parquet", ["c_custkey", "c_name", "c_acctbal"])))
+    _put("column_export", "SELECT c_mktsegment FROM customer", lambda s, d: exported(s, f"{d}/customer.parquet", "c_mktsegment"))
+    _put("stream_to_store", "SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem", lambda s, d: streamed(s, scan(s, f"{d}/lineitem.parquet", ["l_orderkey", "l_linenumber", "l_returnflag"])))
+    _put("stream_windowed_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL", lambda s, d: stream_counted(s, f"{d}/events.parquet"))
+
     _put("column_file_roundtrip", "SELECT * FROM nation", lambda s, d: column_file_round_trip(s, scan(s, f"{d}/nation.parquet")))
     _put("boolean_connectives", "SELECT count(*) AS c FROM events WHERE event_type IN ('click', 'view') AND NOT (user_id < 10 OR value IS NULL) AND props LIKE '%{%'", lambda s, d: scan(s, f"{d}/events.parquet").filter(F.col("event_type").isin("click", "view") & ~((F.col("user_id") < 10) | F.col("value").isNull()) & F.col("props").like("%{%")).agg(F.count(F.lit(1)).alias("c")))
 
@@ -132,11 +146,30 @@ def _fill() -> None:
     _put("sums_of_expressions", "SELECT " + ", ".join(f"CAST(sum(l_linenumber + {i}) AS BIGINT) AS s{i}" for i in range(90)) + " FROM lineitem", lambda s, d: aggregate(scan(s, f"{d}/lineitem.parquet", ["l_linenumber"]), [("sum", col("l_linenumber") + i, f"s{i}") for i in range(90)]))
     _put("case_group", "SELECT CASE WHEN l_quantity < 10 THEN 'small' WHEN l_quantity < 30 THEN 'middle' ELSE 'large' END AS k, count(*) AS c FROM lineitem GROUP BY k", lambda s, d: scan(s, f"{d}/lineitem.parquet", ["l_quantity"]).groupBy(F.when(F.col("l_quantity") < 10, "small").when(F.col("l_quantity") < 30, "middle").otherwise("large").alias("k")).agg(n()))
     _put("date_range_count", "SELECT event_type, count(*) AS c FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20' AND event_type IN ('click', 'view') GROUP BY event_type", lambda s, d: scan(s, f"{d}/events.parquet").filter("ts >= TIMESTAMP_NTZ'2024-01-10' AND ts < TIMESTAMP_NTZ'2024-01-20'").filter(F.col("event_type").isin("click", "view")).groupBy("event_type").agg(n()))
+    nations = lambda s, d: scan(s, f"{d}/nation.parquet", ["n_nationkey", "n_name", "n_regionkey"])
+    customers = lambda s, d: scan(s, f"{d}/customer.parquet", ["c_custkey", "c_nationkey", "c_acctbal"])
+    orders = lambda s, d: scan(s, f"{d}/orders.parquet", ["o_orderkey", "o_custkey", "o_totalprice"])
+    _put("join_inner_group", "SELECT n_name, count(*) AS c, round(sum(c_acctbal), 2) AS s FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name", lambda s, d: join(customers(s, d), nations(s, d), [("c_nationkey", "n_nationkey")]).groupBy("n_name").agg(n(), F.round(F.sum("c_acctbal"), 2).alias("s")))
+    _put("join_left", "SELECT c_custkey, count(o_orderkey) AS c FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey", lambda s, d: join(customers(s, d), orders(s, d), [("c_custkey", "o_custkey")], "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("c")))
+    _put("join_full", "SELECT count(*) AS c, count(s_suppkey) AS s, count(n_nationkey) AS k FROM (SELECT * FROM supplier WHERE s_suppkey % 3 = 0) FULL JOIN (SELECT * FROM nation WHERE n_nationkey % 2 = 0) ON s_nationkey = n_nationkey", lambda s, d: join(scan(s, f"{d}/supplier.parquet").where("s_suppkey % 3 = 0"), nations(s, d).where("n_nationkey % 2 = 0"), [("s_nationkey", "n_nationkey")], "full").agg(n(), F.count("s_suppkey").alias("s"), F.count("n_nationkey").alias("k")))
+    for how, word in (("semi", "IN"), ("anti", "NOT IN")):
+        _put(f"join_{how}", f"SELECT c_custkey FROM customer WHERE c_custkey {word} (SELECT o_custkey FROM orders)", lambda s, d, how=how: join(customers(s, d), orders(s, d), [("c_custkey", "o_custkey")], how).select("c_custkey"))
+    _put("window_top_of_group", "SELECT c_nationkey, c_custkey, r FROM (SELECT c_nationkey, c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS INTEGER) AS r FROM customer) WHERE r <= 3", lambda s, d: ranked(customers(s, d), ["c_nationkey"], [F.desc("c_acctbal"), F.asc("c_custkey")], "r", 3).select("c_nationkey", "c_custkey", "r"))
+    _put("window_running", "SELECT event_id, count(*) OVER w AS c, min(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS m FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", lambda s, d: running(running(scan(s, f"{d}/events.parquet", ["event_id", "user_id", "ts", "value"]), ["user_id"], [F.asc("ts"), F.asc("event_id")], {"c": F.count(F.lit(1))}), ["user_id"], [F.asc("ts"), F.asc("event_id")], {"m": F.min("value")}, 3).select("event_id", "c", "m"))
+    keys = lambda s, d: (scan(s, f"{d}/supplier.parquet").select(F.col("s_nationkey").alias("k")), scan(s, f"{d}/customer.parquet").where("c_custkey < 40").select(F.col("c_nationkey").alias("k")))
+    for name, f, distinct, sql in (("union_all", union, False, "UNION ALL"), ("union", union, True, "UNION"), ("intersect", intersect, True, "INTERSECT"), ("intersect_all", intersect, False, "INTERSECT ALL"), ("except", subtract, True, "EXCEPT"), ("except_all", subtract, False, "EXCEPT ALL")):
+        _put(f"set_{name}", f"SELECT s_nationkey AS k FROM supplier {sql} SELECT c_nationkey AS k FROM customer WHERE c_custkey < 40", lambda s, d, f=f, distinct=distinct: f(*keys(s, d), distinct))
+    _put("user_function", "SELECT l_orderkey, l_quantity * 2 + 1 AS v FROM lineitem", lambda s, d: scan(s, f"{d}/lineitem.parquet").select("l_orderkey", register_scalar(s, "twice_and_one", _twice_and_one, "double")("l_quantity").alias("v")))
+    _put("user_aggregate", "SELECT l_returnflag, max(l_quantity) - min(l_quantity) AS v FROM lineitem GROUP BY l_returnflag", lambda s, d: scan(s, f"{d}/lineitem.parquet").groupBy("l_returnflag").agg(register_aggregate(s, "spread", _spread, "double")("l_quantity").alias("v")))
     _put("date_trunc_group", "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS h, count(*) AS c FROM events GROUP BY h", lambda s, d: scan(s, f"{d}/events.parquet", ["ts"]).groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("h")).agg(n()))
 
 
 def _shared(spark: SparkSession, label: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/marlstone"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        root = os.path.join(tempfile.gettempdir(), f"marlstone-{os.getuid()}")
     return os.path.join(root if urlparse(root).scheme else os.path.abspath(root), f"{label}-{uuid.uuid4().hex}")
 
 
@@ -148,12 +181,56 @@ def column_file_round_trip(spark: SparkSession, df: DataFrame) -> DataFrame:
     return read_column_file(spark, path)
 
 
-def csv_round_trip(spark: SparkSession, df: DataFrame) -> DataFrame:
+def csv_round_trip(spark: SparkSession, df: DataFrame, **form) -> DataFrame:
     """Write as CSV into the session's shared folder and read back; microseconds are kept. NULLs have no CSV form here: strings come back empty."""
     path = _shared(spark, "csv")
     micros = "yyyy-MM-dd HH:mm:ss.SSSSSS"
-    write_csv(df, path, timestamp_format=micros)
-    return read_csv(spark, path, df.schema, timestamp_format=micros)
+    write_csv(df, path, timestamp_format=micros, **form)
+    return read_csv(spark, path, df.schema, timestamp_format=micros, **form)
+
+
+def converted(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """A table to CSV, with a schema file beside it to the store, and from there to CSV once more."""
+    first, schema, store, second = (_shared(spark, x) for x in ("csv", "schema", "store", "csv"))
+    write_csv(df, first)
+    lines = "\n".join(f"{f.name},{to_logical_name(f.dataType)}" for f in df.schema.fields)
+    spark.createDataFrame([(lines,)], "value string").coalesce(1).write.text(schema)
+    csv_to_store(spark, first, schema, store)
+    store_to_csv(spark, store, second)
+    return read_csv(spark, second, load_schema(spark, schema))
+
+
+def exported(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One column as CSV, read back strictly."""
+    export_column(spark, path, name, out := _shared(spark, "column"))
+    return read_csv(spark, out, scan(spark, path, [name]).schema)
+
+
+def streamed(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """A CSV folder as a stream into the store."""
+    folder, store, progress = (_shared(spark, x) for x in ("csv", "store", "progress"))
+    write_csv(df, folder)
+    stream_to_store(csv_stream(spark, folder, df.schema), store, progress).awaitTermination()
+    return spark.read.schema(df.schema).parquet(store)
+
+
+def stream_counted(spark: SparkSession, path: str) -> DataFrame:
+    """Hourly counts kept current by a stream; each trigger replaces the stored result."""
+    source, store, progress = (_shared(spark, x) for x in ("stream", "store", "progress"))
+    events = scan(spark, path, ["ts", "event_type"])
+    events.select(F.col("ts").cast("timestamp").alias("ts"), "event_type").write.parquet(source)
+    stream = spark.readStream.schema("ts timestamp, event_type string").parquet(source)
+    counts = windowed_counts(stream, "ts", "1 hour", "1 hour", ["event_type"])
+    counts.writeStream.outputMode("complete").option("checkpointLocation", progress).trigger(availableNow=True).foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(store)).start().awaitTermination()
+    return spark.read.parquet(store).select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
+
+
+def _twice_and_one(x: pd.Series) -> pd.Series:
+    return x * 2 + 1
+
+
+def _spread(x: pd.Series) -> float:
+    return x.max() - x.min()
 
 
 _fill()
