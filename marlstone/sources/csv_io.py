@@ -6,12 +6,14 @@ Spark's reader yields NULL for an empty cell; here an empty string cell is ``''`
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.functions.casts import DATE_FORMAT, TIMESTAMP_FORMAT
+from marlstone.functions.casts import DATE_FORMAT, TIMESTAMP_FORMAT, from_text
 
 #: Longest cell accepted, in characters.
 MAX_CELL = 1 << 20
@@ -33,6 +35,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",
     """A DataFrame without NULLs. ``multi_line=False`` lets Spark split large files whose cells hold no record end; with it each file is one task."""
     if not schema.fields:
         raise CsvError("a schema of no columns reads nothing")
+    if len(schema.fields) == 1:
+        return _read_one_column(spark, path, schema, sep, line_sep, header, timestamp_format)
     raw = (
         spark.read.schema(schema)
         .options(**_options(sep, line_sep), mode="FAILFAST", header=str(header).lower(), enforceSchema="true", multiLine=str(multi_line).lower(), maxCharsPerColumn=str(MAX_CELL))
@@ -51,6 +55,23 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",
     return raw.select(*out)
 
 
+def _read_one_column(spark: SparkSession, path: str, schema: T.StructType, sep: str, line_sep: str, header: bool, timestamp_format: str) -> DataFrame:
+    """By the strict grammar: of one column, Spark's reader drops blank records and takes an unclosed quote for text. Each file is one task."""
+    _options(sep, line_sep)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text in b.column("value").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in parse_records(text, 1, sep, line_sep)][int(header) :], pa.string())], names=["value"])
+
+    f = schema.fields[0]
+    value = F.col("value")
+    if not isinstance(f.dataType, T.StringType):
+        full = F.when(value != "", value).otherwise(F.raise_error(F.lit(f"empty cell in column {f.name}")).cast("string"))
+        value = F.to_timestamp_ntz(full, F.lit(timestamp_format)) if isinstance(f.dataType, T.TimestampNTZType) else from_text(full, f.dataType)
+    return spark.read.text(path, wholetext=True).mapInArrow(cells, "value string").select(value.alias(f.name))
+
+
 def _cell(c: Column, kind: T.DataType, timestamp_format: str) -> Column:
     if isinstance(kind, (T.TimestampNTZType, T.TimestampType)):
         c = F.date_format(c, timestamp_format)

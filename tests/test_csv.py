@@ -4,8 +4,9 @@ from marlstone.sources.csv_io import MAX_CELL, CsvError, parse_records, read_csv
 from marlstone.sources.store import csv_to_store, export_column, store_to_csv
 from marlstone.types import make_schema
 
-PEOPLE = make_schema(["id", "name", "age"], ["int64", "string", "int32"])
+STOCK = make_schema(["sku", "label", "units"], ["int64", "string", "int32"])
 WIDE3 = make_schema(["a", "b", "c"], ["string"] * 3)
+ONE = make_schema(["word"], ["string"])
 
 
 def _read(spark, tmp_path, text, schema, **kw):
@@ -13,9 +14,21 @@ def _read(spark, tmp_path, text, schema, **kw):
     return [tuple(r) for r in read_csv(spark, str(tmp_path / "in.csv"), schema, **kw).collect()]
 
 
-@pytest.mark.parametrize(("text", "end"), [("0,german,20\r\n1,igor,19", "\r\n"), ("0,german,20\r\n1,igor,19\r\n", "\r\n"), ("0,german,20\n1,igor,19", "\n"), ("0,german,20\n1,igor,19\n", "\n")])
-def test_basic(spark, tmp_path, text, end):
-    assert _read(spark, tmp_path, text, PEOPLE, line_sep=end) == [(0, "german", 20), (1, "igor", 19)]
+@pytest.mark.parametrize("last", [True, False])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_record_ends(spark, tmp_path, end, last):
+    rows = [(704, "copper wire", -12), (9_000_000_000, "ß-ring", 0), (3, "", 2_147_483_647)]
+    text = end.join(f"{a},{b},{c}" for a, b, c in rows) + end * last
+    assert _read(spark, tmp_path, text, STOCK, line_sep=end) == rows
+
+
+def test_one_column_is_read_strictly(spark, tmp_path):
+    assert _read(spark, tmp_path, 'top\n\n"a\nb"\n', ONE) == [("top",), ("",), ("a\nb",)]
+    assert _read(spark, tmp_path, "word\r\nx\r\n", ONE, header=True, line_sep="\r\n") == [("x",)]
+    assert _read(spark, tmp_path, "7\n-8\n", make_schema(["n"], ["int16"])) == [(7,), (-8,)]
+    for text, schema in (('"open', ONE), ('"""\n', ONE), ("a,b\n", ONE), ("1\n\n2\n", make_schema(["n"], ["int16"])), ("70000\n", make_schema(["n"], ["int16"]))):
+        with pytest.raises(Exception, match="quoting|cells|empty cell|CAST|OVERFLOW"):
+            _read(spark, tmp_path, text, schema)
 
 
 def test_empty_strings_are_no_nulls(spark, tmp_path):
@@ -24,7 +37,7 @@ def test_empty_strings_are_no_nulls(spark, tmp_path):
 
 def test_empty_number_raises(spark, tmp_path):
     with pytest.raises(Exception, match="empty cell"):
-        _read(spark, tmp_path, "1,x,\n", PEOPLE)
+        _read(spark, tmp_path, "1,x,\n", STOCK)
 
 
 @pytest.mark.parametrize("text", ["a,b\n", "a,b,c,d\n"])
@@ -54,9 +67,9 @@ def test_long_cell_raises(spark, tmp_path):
 @pytest.mark.parametrize("end", ["\n", "\r\n"])
 def test_round_trip(spark, tmp_path, parts, end):
     rows = [(1, 'say "hi"', 2), (2, "a,b", 3), (3, f"line{end}end", 4), (4, "", 5), (5, " sp ", 6)]
-    df = spark.createDataFrame(rows, PEOPLE).repartition(parts)
+    df = spark.createDataFrame(rows, STOCK).repartition(parts)
     write_csv(df, str(tmp_path / "o"), line_sep=end)
-    assert sorted(tuple(r) for r in read_csv(spark, str(tmp_path / "o"), PEOPLE, line_sep=end).collect()) == rows
+    assert sorted(tuple(r) for r in read_csv(spark, str(tmp_path / "o"), STOCK, line_sep=end).collect()) == rows
 
 
 def test_store_conversions(spark, tmp_path):
