@@ -1,15 +1,16 @@
 """Elias-Fano sequences over numpy arrays: a sorted list of n numbers below u in about ``2 + log2(u / n)`` bits each, with vectorised access and search.
 
-Each number's low bits are packed; its high part is a unary bit vector with a count of ones for every 512 bits. The arrays can be memory maps.
+Each number's low bits are packed; its high part is a unary bit vector with a count of ones for every word of 64 bits. The arrays can be memory maps.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-_BLOCK = 8  # words of 64 bits for each count
-_CHUNK = 1 << 17
 _ONE, _ALL = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
+_BYTES, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+#: Place of each set bit in each byte, by rank; 8 beyond the last.
+_IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [8] * 8)[:8] for b in range(256)], np.int64).ravel()
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -37,15 +38,14 @@ def _unpack(packed: np.ndarray, index: np.ndarray, width: int) -> np.ndarray:
 
 
 def _in_word(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Place of the set bit with the given rank within each word."""
-    words, rank, at = words.copy(), rank.astype(np.int64), np.zeros(len(words), np.int64)
-    for step in (32, 16, 8, 4, 2, 1):
-        below = np.bitwise_count(words & np.uint64((1 << step) - 1)).astype(np.int64)
-        go = rank >= below
-        rank -= np.where(go, below, 0)
-        words = np.where(go, words >> np.uint64(step), words)
-        at += np.where(go, step, 0)
-    return at
+    """Place of the set bit with the given rank within each word: the running counts of its bytes, side by side in one word, tell the byte, a table the bit."""
+    x = words - ((words >> _ONE) & np.uint64(0x5555555555555555))
+    x = (x & np.uint64(0x3333333333333333)) + ((x >> np.uint64(2)) & np.uint64(0x3333333333333333))
+    upto = ((x + (x >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _BYTES
+    rank = rank.astype(np.uint64)
+    shift = np.bitwise_count(((rank * _BYTES) | _TOPS) - upto & _TOPS).astype(np.uint64) << np.uint64(3)
+    left = rank - ((upto << np.uint64(8)) >> shift & np.uint64(0xFF))
+    return shift.astype(np.int64) + _IN_BYTE[((words >> shift & np.uint64(0xFF)) << np.uint64(3) | left).astype(np.int64)]
 
 
 class EliasFano:
@@ -54,23 +54,24 @@ class EliasFano:
     def __init__(self, n: int, width: int, top: int, parts: dict[str, np.ndarray]):
         self.n, self.width, self.top = n, width, top
         self.low, self.high, self.ones = parts["low"], parts["high"], parts["ones"]
+        self._zeros: np.ndarray | None = None
 
     @staticmethod
     def encode(values: np.ndarray) -> tuple[dict[str, int], dict[str, np.ndarray]]:
         values = np.asarray(values, np.uint64)
         n = len(values)
         if not n:
-            return {"n": 0, "width": 0, "top": 0}, {"low": np.zeros(1, np.uint64), "high": np.zeros(_BLOCK, np.uint64), "ones": np.zeros(2, np.int64)}
+            return {"n": 0, "width": 0, "top": 0}, {"low": np.zeros(1, np.uint64), "high": np.zeros(1, np.uint64), "ones": np.zeros(2, np.uint32)}
         width = max(0, (int(values[-1]) // n).bit_length() - 1)
         low = values & np.uint64((1 << width) - 1)
         upper = (values >> np.uint64(width)).astype(np.int64)
         top = int(upper[-1])
         at = upper + np.arange(n)
-        words = np.zeros(-(-(n + top + 1) // (64 * _BLOCK)) * _BLOCK, np.uint64)
+        words = np.zeros(-(-(n + top + 1) // 64), np.uint64)
         w = at >> 6
         first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
         words[w[first]] = np.bitwise_or.reduceat(_ONE << (at & 63).astype(np.uint64), first)
-        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(words).reshape(-1, _BLOCK).sum(axis=1, dtype=np.int64))])
+        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)]).astype(np.uint32 if 64 * len(words) < 1 << 32 else np.uint64)
         return {"n": n, "width": width, "top": top}, {"low": _pack(low, width), "high": words, "ones": ones}
 
     @classmethod
@@ -79,21 +80,16 @@ class EliasFano:
         return cls(meta["n"], meta["width"], meta["top"], parts)
 
     def _select(self, rank: np.ndarray, ones: bool) -> np.ndarray:
-        out = np.empty(len(rank), np.int64)
-        counts = self.ones if ones else np.arange(len(self.ones)) * (64 * _BLOCK) - self.ones
-        for i in range(0, len(rank), _CHUNK):
-            r = rank[i : i + _CHUNK]
-            block = np.searchsorted(counts, r, side="right") - 1
-            left = r - counts[block]
-            words = self.high[block[:, None] * _BLOCK + np.arange(_BLOCK)]
-            if not ones:
-                words = ~words
-            upto = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
-            k = (upto <= left[:, None]).sum(axis=1)
-            row = np.arange(len(r))
-            left = left - np.where(k > 0, upto[row, k - 1], 0)
-            out[i : i + _CHUNK] = (block * _BLOCK + k) * 64 + _in_word(words[row, k], left)
-        return out
+        if ones:
+            counts = self.ones
+        else:
+            if self._zeros is None:
+                self._zeros = (np.arange(len(self.ones), dtype=np.uint64) * np.uint64(64) - self.ones).astype(self.ones.dtype)
+            counts = self._zeros
+        rank = rank.astype(counts.dtype)
+        word = np.searchsorted(counts, rank, side="right") - 1
+        bits = self.high[word]
+        return word * 64 + _in_word(bits if ones else ~bits, rank - counts[word])
 
     def _next(self, at: np.ndarray, ones: bool) -> np.ndarray:
         """Place of the next set (or clear) bit after each place; there is one."""

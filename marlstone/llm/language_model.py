@@ -7,7 +7,7 @@ are kept from ``MIN_COUNT`` occurrences; all are counted.
 
 Counting goes level by level: a task packs sorted (key, count) runs for each share of the keys, shares are merged, and kept n-grams are range-partitioned by (context, word)
 into trie shards of some ``SHARD_ENTRIES``, which tasks write to the shared folder. A context with more successors than that goes on in the next shard; what each shard has of its first and last context is added up.
-Workers map these files into memory, so that what a worker holds is what it touches, and remember the last answers. Where the shared folder is no local path, an executor fetches a file when one of its workers first needs it
+Workers map these files into memory, so that what a worker holds is what it touches. Where the shared folder is no local path, an executor fetches a file when one of its workers first needs it
 into the folder that Spark keeps for the executor's files. Nothing of the model passes through the driver but a line for each shard.
 
 Tokens are words (A-Z lower-cased, ended by U+0020 and U+0009 to U+000D) and one end for each text. Null and empty texts are one end. Words are known by their 64-bit
@@ -42,7 +42,7 @@ END = np.uint64(0xE4D0E4D0E4D0E4D1)
 RUN_TOKENS = 3_000_000
 #: Entries of a trie shard, about.
 SHARD_ENTRIES = 2_000_000
-#: Answers a worker remembers for each level: two to this power.
+#: Words a worker remembers: two to this power.
 MEMORY = 20
 
 _SIGN = np.uint64(1 << 63)
@@ -70,14 +70,14 @@ def _loaded(root: str, name: str) -> np.ndarray:
 
     system, base = _system(root)
     if isinstance(system, fs.LocalFileSystem):
-        return np.load(f"{base}/{name}.npy", mmap_mode="r")
+        return np.asarray(np.load(f"{base}/{name}.npy", mmap_mode="r"))
     folder = os.path.join(SparkFiles.getRootDirectory(), base.strip("/").replace("/", "_"))
     if not os.path.exists(path := f"{folder}/{name}.npy"):
         os.makedirs(folder, exist_ok=True)
         part = f"{path}.{uuid.uuid4().hex}"
         fs.copy_files(f"{base}/{name}.npy", part, source_filesystem=system, destination_filesystem=fs.LocalFileSystem())
         os.replace(part, path)
-    return np.load(path, mmap_mode="r")
+    return np.asarray(np.load(path, mmap_mode="r"))
 
 
 @dataclass(frozen=True)
@@ -160,7 +160,7 @@ class Trie:
             # hashes, or (context, word) as one number
             starts = np.array([s.first for s in shards], np.uint64) if not k else np.array([s.first * self.wide + s.word + 1 for s in shards], np.int64)
             self.levels.append((starts, own))
-        self.memory = [_Memory((np.int64, np.int64)), *(_Memory((np.int64, np.float64, np.float64)) for _ in model.levels[1:])]
+        self.memory = _Memory((np.int64, np.int64))
 
     def _opened(self, shard: Shard, level: int) -> dict:
         load, meta = (lambda part: _loaded(self.model.root, f"{shard.name}.{part}")), json.loads(shard.meta)
@@ -169,11 +169,11 @@ class Trie:
             return EliasFano(**meta[kind], parts={p: load(f"{kind}-{p}") for p in ("low", "high", "ones")})
 
         out = {"shard": shard, "ids": sequence("ids"), "counts": load("counts")}
-        return out | {"pointers": sequence("pointers"), "alpha": load("alpha"), "rest": load("rest"), "step": meta["floor"] / 255} if level else out
+        return out | {"pointers": sequence("pointers"), "alpha": load("alpha"), "rest": load("rest"), "alphas": 10.0 ** (np.arange(256) * (meta["floor"] / 255))} if level else out
 
     def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids and counts; -1 and 0 for words not met in training."""
-        return tuple(self.memory[0].through(hashes.view(np.int64), self._words))
+        return tuple(self.memory.through(hashes.view(np.int64), self._words))
 
     def _words(self, keys: np.ndarray) -> list[np.ndarray]:
         hashes = keys.view(np.uint64)
@@ -195,35 +195,46 @@ class Trie:
         n = len(context)
         if not n or not self.levels[level][1]:
             return np.full(n, -1, np.int64), np.zeros(n), np.ones(n)
-        return tuple(self.memory[level].through(context * self.wide + (word + 1), lambda pairs: self._extend(level, pairs)))
+        pairs, back = np.unique(context * self.wide + (word + 1), return_inverse=True)
+        return tuple(x[back] for x in self._extend(level, pairs))
 
     def _extend(self, level: int, pairs: np.ndarray) -> list[np.ndarray]:
         """For sorted distinct pairs."""
         starts, own = self.levels[level]
-        c, w = pairs // self.wide, pairs % self.wide - 1
+        c = pairs // self.wide
+        w = pairs - c * self.wide - 1
         index, alpha, rest = np.full(len(c), -1, np.int64), np.zeros(len(c)), np.ones(len(c))
-        last = np.searchsorted(starts, c * self.wide + (self.wide - 1), side="right") - 1  # the last shard that can hold the context
+        new = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+        near, which = c[new], np.repeat(np.arange(len(new)), np.diff(new, append=len(c)))
+        # the last shard that can hold a context, where what it leaves is told
+        last = np.searchsorted(starts, near * self.wide + (self.wide - 1), side="right") - 1
+        leaves = np.ones(len(near))
         for s in np.unique(last[last >= 0]).tolist():
             shard = own[s]["shard"]
-            q = np.flatnonzero((last == s) & (c - shard.first < shard.contexts))
-            near = c[q] - shard.first
-            rest[q] = own[s]["rest"][near] / 255.0
+            q = np.flatnonzero((last == s) & (near - shard.first < shard.contexts))
+            local = near[q] - shard.first
+            leaves[q] = own[s]["rest"][local] / 255.0
             for end, value in zip((0, shard.contexts - 1), shard.ends, strict=True):
-                rest[q[near == end]] = value
+                leaves[q[local == end]] = value
+        rest = leaves[which]
         at = np.searchsorted(starts, pairs, side="right") - 1
-        for s in np.unique(at[at >= 0]).tolist():
+        edges = np.searchsorted(at, np.arange(len(own) + 1))  # pairs and shards are both in order
+        for s in np.flatnonzero(np.diff(edges)).tolist():
             part, shard = own[s], own[s]["shard"]
-            q = np.flatnonzero((at == s) & (c - shard.first < shard.contexts) & (w >= 0))
-            near = c[q] - shard.first
-            new = np.append(True, near[1:] != near[:-1]) if len(q) else np.zeros(0, bool)
-            begin, end = part["pointers"].access_pairs(near[new])
-            which = np.cumsum(new) - 1
-            full = np.flatnonzero((end > begin)[which])
-            q, which = q[full], which[full]
-            found = part["ids"].find((c[q] - shard.first).astype(np.uint64) * np.uint64(self.model.words) + w[q].astype(np.uint64), begin[which], end[which])
+            a, b = int(edges[s]), int(edges[s + 1])
+            local = near[which[a] : which[b - 1] + 1] - shard.first
+            good = np.flatnonzero(local < shard.contexts)
+            if not len(good):
+                continue
+            begin, end = np.zeros(len(local), np.int64), np.zeros(len(local), np.int64)
+            begin[good], end[good] = part["pointers"].access_pairs(local[good])
+            mine = which[a:b] - which[a]
+            q = np.flatnonzero((end > begin)[mine] & (w[a:b] >= 0))
+            mine = mine[q]
+            found = part["ids"].find(local[mine].astype(np.uint64) * np.uint64(self.model.words) + w[a + q].astype(np.uint64), begin[mine], end[mine])
             hit = found >= 0
-            index[q[hit]] = found[hit] + shard.offset
-            alpha[q[hit]] = 10.0 ** (part["alpha"][found[hit]] * part["step"])
+            index[a + q[hit]] = found[hit] + shard.offset
+            alpha[a + q[hit]] = part["alphas"][part["alpha"][found[hit]]]
         return [index, alpha, rest]
 
     def counts(self, level: int, index: np.ndarray) -> np.ndarray:
