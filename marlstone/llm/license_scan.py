@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import prepare, text_of
+from marlstone.llm.common import least_hashed, prepare, text_of
 
 #: Documents and paragraphs sampled, and words of one.
 SAMPLE, PARAGRAPHS, STRETCH = 1500, 1500, 60
@@ -265,7 +265,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, paragraphs: int = PARAGRAPHS) ->
     lines = few.select("doc_id", F.posexplode(paragraphs_of(text_of())).alias("paragraph", "line")).withColumn("words", _words(F.col("line"))).where(F.size("words") > 0)
     turn = F.xxhash64("doc_id", "paragraph", "line")
     begin = F.pmod(turn, F.greatest(F.size("words") - (STRETCH - 1), F.lit(1))).cast("int")
-    some = lines.select(turn.alias("turn"), F.slice("words", begin + 1, STRETCH).alias("words")).orderBy("turn", "words").limit(paragraphs).collect()  # at most paragraphs * STRETCH words
+    stretches = lines.select(turn.alias("turn"), F.slice("words", begin + 1, STRETCH).alias("words"))
+    some = least_hashed(stretches, paragraphs, "turn", "words").collect()  # at most paragraphs * STRETCH words
     return train([list(r.words) for r in some])
 
 
