@@ -10,7 +10,8 @@ the sums of their paths are merged.
 
 Text is kept as it is: a blank is put in front, as the vocabulary expects, and decoding takes it off again. Every text decodes to itself, U+2581 and characters outside the
 vocabulary by their bytes. Null and empty texts have no pieces and score 0. Pieces that are marked never to be used (score -1e9, runs of blanks) make no arcs. The vocabulary (some 32,000 pieces, read by
-the driver from ``model_path``) is broadcast. Extra columns stay, except those that are added.
+the driver from ``model_path``) is broadcast. Extra columns stay, except those that are added. Repeated rows are encoded each; an empty table gives no rows. A very long text is taken unit by unit; a unit is as long as its longest word, whose lattice takes
+some 500 bytes of a task's memory for each character.
 """
 
 from __future__ import annotations
@@ -317,11 +318,15 @@ class Encoder:
     def _best_of_unit(self, unit: str) -> list[tuple[float, list[int]]]:
         if unit not in self.several:
             arcs = self.vocabulary.arcs(unit)
-            self.several[unit] = [(s, self.vocabulary.ids_of(unit, p)) for s, p in n_best(arcs, forward(arcs)[0], self.n)]
+            found = [(s, self.vocabulary.ids_of(unit, p)) for s, p in n_best(arcs, forward(arcs)[0], self.n)]
+            w = self.index[unit]
+            first = self.ids[self.start[w] : self.start[w + 1]].tolist()
+            # of equal scores the one that encoding takes comes first
+            self.several[unit] = [(found[0][0], first), *(x for x in found if x[1] != first)][: self.n]
         return self.several[unit]
 
-    def _alternatives(self, units: list[str], which: np.ndarray, full: bool) -> list[tuple[float, list[int] | None]]:
-        """The N best of a text: (score, ids)."""
+    def _alternatives(self, units: list[str], which: np.ndarray, full: bool) -> list[tuple[float, list[tuple[int, int, list[int]]], list[int] | None]]:
+        """The N best of a text: (score, changes, ids). Changes are what differs from the best: from a place among its ids so many of them are replaced."""
         total = float(self.score[which].sum())
         loss = self.loss[which]
         k = min(self.n - 1, len(loss))
@@ -330,39 +335,52 @@ class Encoder:
         base = [o[0][0] for o in own]
         sums = sorted((sum(b - o[c][0] for b, o, c in zip(base, own, choice, strict=True)), choice) for choice in product(*(range(len(o)) for o in own)))
         out = []
+        pieces = np.concatenate([[0], np.cumsum(self.start[which + 1] - self.start[which])])
         for lost, choice in sums[: self.n]:
-            ids = None
+            ids, changes = None, [(int(pieces[a]), int(pieces[a + 1] - pieces[a]), o[c][1]) for a, o, c in zip(at, own, choice, strict=True) if c]
             if full:
                 swap = {int(a): o[c][1] for a, o, c in zip(at, own, choice, strict=True)}
                 ids = [x for i, w in enumerate(which) for x in (swap[i] if i in swap else self.ids[self.start[w] : self.start[w + 1]].tolist())]
-            out.append((total - lost, ids))
+            out.append((total - lost, changes, ids))
         return out
 
-    def encode(self, texts: list[str | None], full: bool = False) -> tuple[pa.Array, list[float], list[list[float]], list[list[list[int]]]]:
-        """Ids (a list array), scores, the N best scores, and with ``full`` the N best id lists."""
+    def encode(self, texts: list[str | None], full: bool = False) -> tuple[pa.Array, list[float], list[list[float]], list[list[list[int]]], list[list[list[tuple]]]]:
+        """Ids (a list array), scores, the N best scores, with ``full`` the N best id lists, and what the second to the N-th best change."""
         if len(self.index) > MEMO_UNITS:
             self._reset()
         split = [_UNITS.findall(" " + t) if t else [] for t in texts]
         which = [np.fromiter(map(self.index.__getitem__, u), np.int64, len(u)) for u in split]
         self._learn()
-        scores, several, lists = [], [], []
+        scores, several, lists, changed = [], [], [], []
         for units, w in zip(split, which, strict=True):
             scores.append(float(self.score[w].sum()))
-            best = self._alternatives(units, w, full) if units else [(0.0, [])]
-            several.append([s for s, _ in best])
-            lists.append([ids for _, ids in best] if full else [])
+            best = self._alternatives(units, w, full) if units else [(0.0, [], [])]
+            several.append([s for s, _, _ in best])
+            lists.append([ids for _, _, ids in best] if full else [])
+            changed.append([c for _, c, _ in best[1:]])
         flat = np.concatenate(which) if which else np.zeros(0, np.int64)
         length = self.start[flat + 1] - self.start[flat]
         upto = np.concatenate([[0], np.cumsum(length)])
         ids = self.ids[np.repeat(self.start[flat] - upto[:-1], length) + np.arange(upto[-1])]
         bounds = upto[np.cumsum([0, *(len(w) for w in which)])]
-        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())), scores, several, lists
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())), scores, several, lists, changed
+
+
+def _changes(rows: list[list[list[tuple[int, int, list[int]]]]]) -> pa.Array:
+    """Arrow form of the changes of many texts, from flat lists."""
+    ranks = [c for r in rows for c in r]
+    each = [x for c in ranks for x in c]
+    ids = pa.ListArray.from_arrays(np.cumsum([0, *(len(x[2]) for x in each)]).astype(np.int32), pa.array([i for x in each for i in x[2]], pa.int32()))
+    parts = pa.StructArray.from_arrays([pa.array([x[0] for x in each], pa.int32()), pa.array([x[1] for x in each], pa.int32()), ids], names=["at", "n", "ids"])
+    inner = pa.ListArray.from_arrays(np.cumsum([0, *map(len, ranks)]).astype(np.int32), parts)
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, rows)]).astype(np.int32), inner)
 
 
 def encode(docs: DataFrame, model_path: str | None = None, n: int = N_BEST, full: bool = False) -> DataFrame:
-    """``docs`` with ids, n_pieces, score, best_scores (the N best), same (whether the ids decode to the text), and with ``full`` also alternatives (the N best id lists)."""
+    """``docs`` with ids, n_pieces, score, best_scores (the N best), changes (of the second to the N-th best: from place ``at`` among the ids ``n`` of them become others), same (whether the ids decode to the text), and with
+    ``full`` also alternatives (the N best id lists)."""
     prepare(docs.sparkSession)
-    added = {"ids": "array<int>", "n_pieces": "long", "score": "double", "best_scores": "array<double>", "same": "boolean"} | ({"alternatives": "array<array<int>>"} if full else {})
+    added = {"ids": "array<int>", "n_pieces": "long", "score": "double", "best_scores": "array<double>", "same": "boolean", "changes": "array<array<struct<at:int,n:int,ids:array<int>>>>"} | ({"alternatives": "array<array<int>>"} if full else {})
     docs = docs.drop(*added)
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(model_path or default_model()))
 
@@ -381,10 +399,10 @@ def encode(docs: DataFrame, model_path: str | None = None, n: int = N_BEST, full
             for i in range(0, batch.num_rows, 256):
                 b = batch.slice(i, 256)
                 texts = b.column("text").to_pylist()
-                ids, scores, several, lists = encoder.encode(texts, full)
+                ids, scores, several, lists, changed = encoder.encode(texts, full)
                 sizes = np.diff(ids.offsets.to_numpy())
                 same = [spelled(x.values.to_numpy()).decode()[1:] == (t or "") for x, t in zip(ids, texts, strict=True)]
-                columns = [ids, pa.array(sizes, pa.int64()), pa.array(scores, pa.float64()), pa.array(several, pa.list_(pa.float64())), pa.array(same)]
+                columns = [ids, pa.array(sizes, pa.int64()), pa.array(scores, pa.float64()), pa.array(several, pa.list_(pa.float64())), pa.array(same), _changes(changed)]
                 if full:
                     columns.append(pa.array(lists, pa.list_(pa.list_(pa.int32()))))
                 yield pa.RecordBatch.from_arrays([*b.columns, *columns], names=[*b.schema.names, *added])
@@ -409,4 +427,4 @@ def decode(encoded: DataFrame, model_path: str | None = None, column: str = "ids
 
 def op4_sentencepiece(spark, sf_dir: str) -> DataFrame:
     out = encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return out.select("doc_id", "n_pieces", "score", "best_scores", F.col("same").alias("round_trip"), "ids")
+    return out.select("doc_id", "n_pieces", "score", "best_scores", F.col("same").alias("round_trip"), "ids", "changes")

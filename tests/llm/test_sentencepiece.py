@@ -24,16 +24,24 @@ def segmentations(v, text):
                 yield s + v.unknown, (*(v.bytes[b] for b in text[0].encode()), *rest)
 
 
+def applied(ids, changes):
+    out = list(ids)
+    for at, n, new in sorted(changes, reverse=True):
+        out[at : at + n] = new
+    return out
+
+
 def test_n_best_against_all_segmentations(vocabulary):
     pick, encoder = random.Random(5), S.Encoder(vocabulary)
     for _ in range(100):
         text = "".join(pick.choice("the of and\nréx漢") for _ in range(pick.randint(1, 9)))
         every = sorted((-s, ids) for s, ids in segmentations(vocabulary, " " + text))
-        ids, scores, several, lists = encoder.encode([text], full=True)
+        ids, scores, several, lists, changed = encoder.encode([text], full=True)
         assert several[0] == [-s for s, _ in every[: S.N_BEST]] and scores[0] == several[0][0]
         known = {ids: -s for s, ids in every}
         assert [known[tuple(x)] for x in lists[0]] == several[0] and len({tuple(x) for x in lists[0]}) == len(lists[0])
-        assert known[tuple(ids.to_pylist()[0])] == scores[0]
+        assert known[tuple(ids.to_pylist()[0])] == scores[0] and lists[0][0] == ids.to_pylist()[0]
+        assert [applied(lists[0][0], c) for c in changed[0]] == lists[0][1:]
 
 
 def test_round_trip(documents, awkward):
@@ -41,7 +49,7 @@ def test_round_trip(documents, awkward):
     out = S.decode(S.encode(documents(rows), full=True)).collect()
     assert len(out) == len(rows)
     for r in out:
-        assert r.decoded == (r.text or "") and r.same and r.n_pieces == len(r.ids) and r.score == r.best_scores[0] and list(r.best_scores) == sorted(r.best_scores, reverse=True)
+        assert r.decoded == (r.text or "") and r.same and r.n_pieces == len(r.ids) and [applied(r.ids, c) for c in r.changes] == [list(a) for a in r.alternatives[1:]] and r.score == r.best_scores[0] and list(r.best_scores) == sorted(r.best_scores, reverse=True)
         assert all(S.Vocabulary.decode(S.Vocabulary(S.default_model()), x) == r.decoded for x in r.alternatives[-1:])
     assert S.encode(documents([])).count() == 0
 
