@@ -94,8 +94,9 @@ def fit_voter(counts: np.ndarray, labels: np.ndarray, prior: float, rank: int =
     idf = (np.log((1 + n) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
     x = counts * idf
     x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    _, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
-    axes = vectors[:, ::-1][:, :rank].astype(np.float32)
+    _, vectors = np.linalg.eigh(x.T @ x)  # in single precision: the driver holds a few matrices of BINS x BINS
+    axes = np.ascontiguousarray(vectors[:, ::-1][:, :rank])
+    del vectors
     v = x @ axes
     v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
     return Voter(idf, axes, v.astype(np.float32), labels.astype(np.float64), prior)
