@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +36,8 @@ from marlstone.llm.common import forget, prepare, stored
 from marlstone.llm.words import Words, mixed, powers_of, rolled
 
 WINDOW, GRAM = 20, 4
-#: Words a task looks at together.
-CHUNK = 1_500_000
+#: Words a task looks at together, and bytes of text that it reads at once; a longer text is taken whole.
+CHUNK, PIECE = 600_000, 2 << 20
 #: Documents sampled for the words that get short numbers on the way; the sample decides nothing but bytes.
 SAMPLE, NUMBERED, SLOTS = 10_000, (1 << 16) - 1, 20
 #: Buckets of names that are counted, at least and for each bin.
@@ -76,6 +77,15 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - size), size)
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of some ``PIECE`` bytes of text each, or one of a longer text."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    part = upto // PIECE
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield batch.slice(a, b - a)
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(names of words, bounds of documents among them, document, copy) of documents of at least a window."""
     names = Words(fold=False)
@@ -86,7 +96,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[np
         length = np.concatenate([x[1] for x in held])
         return np.concatenate([x[0] for x in held]), np.append(0, np.cumsum(length)), *(np.concatenate([x[i] for x in held]) for i in (2, 3))
 
-    for b in batches:
+    for b in (p for batch in batches for p in _pieces(batch)):
         v, bounds = names.read(b.column("text"))
         length = np.diff(bounds)
         keep = np.flatnonzero(length >= window)
@@ -303,14 +313,22 @@ def _grown(words: np.ndarray, at: np.ndarray, forward: np.ndarray, which: np.nda
     return which[shared], (np.cumsum(head) - 1)[shared]
 
 
-def _packed(*arrays: np.ndarray) -> bytes:
-    raw = [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(raw))
+def _planes(a: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones, and so on."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes()
+
+
+def _whole(raw: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, len(raw) // width).T).view(kind).ravel()
+
+
+def _packed(a: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(_planes(a))
 
 
 def _unpacked(blob: bytes, kind: str) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    return _whole(zstandard.ZstdDecompressor().decompress(blob), kind)
 
 
 def frequent_words(docs: DataFrame) -> np.ndarray:
@@ -334,19 +352,25 @@ class _Numbers:
         self.slot = np.full(1 << SLOTS, len(frequent), np.uint16)
         self.slot[(frequent >> np.uint64(64 - SLOTS))[::-1]] = np.arange(len(frequent), dtype=np.uint16)[::-1]
 
-    def packed(self, words: np.ndarray) -> bytes:
-        number = self.slot[words >> np.uint64(64 - SLOTS)]
-        number[self.names[number] != words] = len(self.names) - 1
-        rare = number == len(self.names) - 1
-        body = zstandard.ZstdCompressor(level=1).compress(number.view(np.uint8).reshape(-1, 2).T.tobytes())
-        return np.int64(len(body)).tobytes() + body + words[rare].tobytes()
-
-    def unpacked(self, blob: bytes) -> np.ndarray:
-        size = int(np.frombuffer(blob, "<i8", 1)[0])
-        number = np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8 : 8 + size]), np.uint8).reshape(2, -1).T).view(np.uint16).ravel()
-        out = self.names[number]
-        out[number == len(self.names) - 1] = np.frombuffer(blob, "<u8", offset=8 + size)
-        return out
+    def packed(self, s: Suffixes) -> bytes:
+        """Suffixes as bytes."""
+        number = self.slot[s.words >> np.uint64(64 - SLOTS)]
+        number[self.names[number] != s.words] = len(self.names) - 1
+        rare = s.words[number == len(self.names) - 1]
+        body = zstandard.ZstdCompressor(level=1).compress(b"".join([*(_planes(getattr(s, c).astype(k)) for c, k in _COLUMNS.items()), _planes(number)]))
+        return np.array([len(s), len(body)], "<i8").tobytes() + body + rare.tobytes()
+
+    def unpacked(self, blob: bytes) -> Suffixes:
+        n, size = np.frombuffer(blob, "<i8", 2).tolist()
+        raw = zstandard.ZstdDecompressor().decompress(blob[16 : 16 + size])
+        columns, at = [], 0
+        for kind in _COLUMNS.values():
+            columns.append(_whole(raw[at : at + n * np.dtype(kind).itemsize], kind))
+            at += n * np.dtype(kind).itemsize
+        number = _whole(raw[at:], "<u2")
+        words = self.names[number]
+        words[number == len(self.names) - 1] = np.frombuffer(blob, "<u8", offset=16 + size)
+        return Suffixes(*columns, words)
 
 
 _COLUMNS = {"doc": "<i8", "copy": "<i8", "low": "<i4", "many": "<i4", "left": "<i4"}
@@ -363,7 +387,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def told(doc: np.ndarray, copy: np.ndarray, low: np.ndarray, many: np.ndarray) -> list[pa.Array]:
         return [pa.array(doc, pa.int64()), pa.array(copy, pa.int64()), pa.array(low, pa.int32()), pa.array(many, pa.int32())]
 
-    run_names = ["bin", *_COLUMNS, "words", "found"]
+    run_names = ["bin", "run", "found"]
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy = np.zeros(buckets, bool)
@@ -378,25 +402,23 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             cuts = np.searchsorted(to[left], np.arange(bins + 1))
             s2 = s.taken(left, window)
             ends = np.append(0, np.cumsum(s2.many.astype(np.int64) + (window - 1)))
-            rows = [
-                (b, *(_packed(getattr(s2, c)[cuts[b] : cuts[b + 1]].astype(k)) for c, k in _COLUMNS.items()), numbers.packed(s2.words[ends[cuts[b]] : ends[cuts[b + 1]]]), False)
-                for b in range(bins) if cuts[b] < cuts[b + 1]
-            ]
+            part = lambda x, a, b: Suffixes(*(getattr(x, c)[a:b] for c in _COLUMNS), x.words[ends[a] : ends[b]])
+            rows = [(b, numbers.packed(part(s2, cuts[b], cuts[b + 1])), False) for b in np.flatnonzero(np.diff(cuts)).tolist()]
             if late.any():
-                rows.append((turn % bins, *(_packed(getattr(s, c)[late].astype(k)) for c, k in _COLUMNS.items()), b"", True))
-            kinds = [pa.int32(), *[pa.binary()] * (len(_COLUMNS) + 1), pa.bool_()]
+                rows.append((turn % bins, numbers.packed(Suffixes(*(getattr(s, c)[late] for c in _COLUMNS), s.words[:0])), True))
+            kinds = [pa.int32(), pa.binary(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=run_names)
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[Suffixes]] = {}
         numbers = _Numbers(shared.value[1])
         for b in batches:
-            for bin_, *blobs, words, found in zip(*(b.column(c).to_pylist() for c in run_names), strict=True):
-                columns = [_unpacked(x, k) for x, k in zip(blobs, _COLUMNS.values(), strict=True)]
+            for bin_, run, found in zip(*(b.column(c).to_pylist() for c in run_names), strict=True):
+                s = numbers.unpacked(run)
                 if found:
-                    yield pa.RecordBatch.from_arrays(told(*columns[:4]), names=found_names)
+                    yield pa.RecordBatch.from_arrays(told(s.doc, s.copy, s.low, s.many), names=found_names)
                 else:
-                    held.setdefault(bin_, []).append(Suffixes(*columns, numbers.unpacked(words)))
+                    held.setdefault(bin_, []).append(s)
         for parts in held.values():
             whole = Suffixes(*(np.concatenate([getattr(p, c) for p in parts]) for c in (*_COLUMNS, "words")))
             parts.clear()
@@ -409,8 +431,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 many = np.diff(f, append=first[i + len(f)] if i + len(f) < len(first) else len(doc))
                 yield pa.RecordBatch.from_arrays(told(doc[f], copy[f], start[f], many), names=found_names)
 
-    run_schema = "bin int, " + ", ".join(f"{c} binary" for c in (*_COLUMNS, "words")) + ", found boolean"
-    runs = docs.mapInArrow(dealt, run_schema).repartitionById(bins, F.col("bin"))
+    runs = docs.mapInArrow(dealt, "bin int, run binary, found boolean").repartitionById(bins, F.col("bin"))
     return runs.mapInArrow(searched, "doc_key long, copy long, low int, many int")
 
 
