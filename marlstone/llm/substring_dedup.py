@@ -358,20 +358,33 @@ class _Numbers:
         number[self.names[number] != s.words] = len(self.names) - 1
         rare = s.words[number == len(self.names) - 1]
         body = zstandard.ZstdCompressor(level=1).compress(b"".join([*(_planes(getattr(s, c).astype(k)) for c, k in _COLUMNS.items()), _planes(number)]))
-        return np.array([len(s), len(body)], "<i8").tobytes() + body + rare.tobytes()
+        return np.array([len(s), len(s.words), len(body)], "<i8").tobytes() + body + rare.tobytes()
 
     def unpacked(self, blob: bytes) -> Suffixes:
-        n, size = np.frombuffer(blob, "<i8", 2).tolist()
-        raw = zstandard.ZstdDecompressor().decompress(blob[16 : 16 + size])
+        n, _, size = np.frombuffer(blob, "<i8", 3).tolist()
+        raw = zstandard.ZstdDecompressor().decompress(blob[24 : 24 + size])
         columns, at = [], 0
         for kind in _COLUMNS.values():
             columns.append(_whole(raw[at : at + n * np.dtype(kind).itemsize], kind))
             at += n * np.dtype(kind).itemsize
         number = _whole(raw[at:], "<u2")
         words = self.names[number]
-        words[number == len(self.names) - 1] = np.frombuffer(blob, "<u8", offset=16 + size)
+        words[number == len(self.names) - 1] = np.frombuffer(blob, "<u8", offset=24 + size)
         return Suffixes(*columns, words)
 
+    def gathered(self, blobs: list[bytes]) -> Suffixes:
+        """All suffixes of many runs; the runs are taken off the list one by one, so that little is held twice."""
+        n, size = (sum(np.frombuffer(b, "<i8", 3)[i] for b in blobs) for i in (0, 1))
+        out = Suffixes(*(np.empty(n, k) for k in _COLUMNS.values()), np.empty(size, np.uint64))
+        at = upto = 0
+        while blobs:
+            s = self.unpacked(blobs.pop())
+            for c in _COLUMNS:
+                getattr(out, c)[at : at + len(s)] = getattr(s, c)
+            out.words[upto : upto + len(s.words)] = s.words
+            at, upto = at + len(s), upto + len(s.words)
+        return out
+
 
 _COLUMNS = {"doc": "<i8", "copy": "<i8", "low": "<i4", "many": "<i4", "left": "<i4"}
 
@@ -410,19 +423,17 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=run_names)
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[Suffixes]] = {}
+        held: dict[int, list[bytes]] = {}
         numbers = _Numbers(shared.value[1])
         for b in batches:
             for bin_, run, found in zip(*(b.column(c).to_pylist() for c in run_names), strict=True):
-                s = numbers.unpacked(run)
                 if found:
+                    s = numbers.unpacked(run)
                     yield pa.RecordBatch.from_arrays(told(s.doc, s.copy, s.low, s.many), names=found_names)
                 else:
-                    held.setdefault(bin_, []).append(s)
-        for parts in held.values():
-            whole = Suffixes(*(np.concatenate([getattr(p, c) for p in parts]) for c in (*_COLUMNS, "words")))
-            parts.clear()
-            doc, copy, start = tree_repeats(whole, window, gram)
+                    held.setdefault(bin_, []).append(run)
+        for runs in held.values():
+            doc, copy, start = tree_repeats(numbers.gathered(runs), window, gram)
             order = np.lexsort((start, copy, doc))
             doc, copy, start = doc[order], copy[order], start[order]
             first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (copy[1:] != copy[:-1]) | (start[1:] != start[:-1] + 1))) if len(doc) else np.zeros(0, np.int64)
