@@ -25,7 +25,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
