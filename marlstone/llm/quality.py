@@ -12,6 +12,7 @@ columns pass through ``score``. A text of any length is read whole, in blocks.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -94,7 +95,7 @@ def fit_voter(counts: np.ndarray, labels: np.ndarray, prior: float, rank: int =
     idf = (np.log((1 + n) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
     x = counts * idf
     x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    _, vectors = np.linalg.eigh(x.T @ x)  # in single precision: the driver holds a few matrices of BINS x BINS
+    _, vectors = np.linalg.eigh(x.T @ x)  # in single precision: a task holds a few matrices of BINS x BINS
     axes = np.ascontiguousarray(vectors[:, ::-1][:, :rank])
     del vectors
     v = x @ axes
@@ -123,10 +124,21 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, folds: i
             rows = [x.tobytes() for x in features(b.column("text"), names).astype(np.float16)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(rows, pa.binary())], names=["doc_id", "label", "counts"])
 
-    rows = sample.select("doc_id", "text", F.col("label").cast("int").alias("label")).mapInArrow(counted, "doc_id long, label int, counts binary").toPandas()
-    rows = rows.sort_values(["label", "doc_id"])
-    counts = np.stack([np.frombuffer(c, np.float16) for c in rows.counts]).astype(np.float32) if len(rows) else np.zeros((0, BINS), np.float32)
-    return fit_voter(counts, rows.label.to_numpy(), 0.5 if share is None else float(share))
+    share = 0.5 if share is None else float(share)
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches, pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("counts", pa.binary())]))
+        t = t.sort_by([("label", "ascending"), ("doc_id", "ascending")])
+        counts = np.empty((len(t), BINS), np.float32)
+        for row, c in zip(counts, t.column("counts"), strict=True):
+            row[:] = np.frombuffer(c.as_buffer(), np.float16)
+        made = pickle.dumps(fit_voter(counts, t.column("label").to_numpy(), share))
+        yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["voter"])
+
+    # the sample, of fixed size, meets in one task: the driver gets only what the executors are sent
+    rows = sample.select("doc_id", "text", F.col("label").cast("int").alias("label")).mapInArrow(counted, "doc_id long, label int, counts binary")
+    made = rows.repartition(1).mapInArrow(fitted, "voter binary").collect()
+    return pickle.loads(made[0].voter) if made else fit_voter(np.zeros((0, BINS), np.float32), np.zeros(0), share)
 
 
 def score(docs: DataFrame, voter: Voter) -> DataFrame:

@@ -9,7 +9,8 @@ Only distinct fingerprints go to the tables (a group of copies is one row, made
 sorted; a task reads each bucket as a run and links within it. Small buckets compare their members directly. In larger ones every member is grouped
 under each choice of ``RADIUS`` free bits left out, ``n * C(free, RADIUS)`` group memberships instead of all pairs, and buckets larger still are first split by
 blocks of the free bits (some block agrees for every pair). A task emits a spanning forest, at most one link for each fingerprint and bucket. Components come from
-alternating large-star and small-star rounds over those links, each stored in the shared folder.
+alternating large-star and small-star rounds over those links, each stored in the shared folder; up to ``AT_ONCE`` links are joined in one task, with the same result:
+the plans and jobs of the rounds cost the driver memory.
 
 Null and empty texts have no shingles and fingerprint zero, and are linked like any other. A null doc_id has a fingerprint but names no component unless
 the component has no other id. Equal rows repeat in the result. An empty table gives no rows. Columns other than doc_id and text are ignored. A very long text is read whole, in some 100 bytes of a task's memory for each of its words.
@@ -33,6 +34,8 @@ BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
 BLOCK = 1 << 16
 #: Runs up to this size compare all members; from SPLIT members on, a bucket is dealt by blocks of its free bits.
 DIRECT, SPLIT = 32, 4096
+#: So many links, 16 MB of them, are joined in one task.
+AT_ONCE = 1_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -183,12 +186,23 @@ def _signed(m: int) -> int:
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, root) for every node of undirected ``edges`` (a, b); the root is the component's least node. Large-star and small-star rounds over stored tables:
     each round's tables are linear in the edges, a node's neighbours are only ever aggregated, never gathered, and rounds grow with the logarithm of the size. A round that leaves the edges as they are
-    (their number and the sums of two hashes) is the last."""
+    (their number and the sums of two hashes) is the last. Up to ``AT_ONCE`` edges need no rounds."""
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches, pa.schema([("v", pa.int64()), ("u", pa.int64())]))
+        node, at = np.unique(np.concatenate([t.column("v").to_numpy(), t.column("u").to_numpy()]), return_inverse=True)
+        root = _roots(len(node), at[: len(t)], at[len(t) :])
+        tail = np.flatnonzero(root != np.arange(len(node)))
+        yield pa.RecordBatch.from_arrays([pa.array(node[tail]), pa.array(node[root[tail]])], names=["node", "root"])
 
     def digest(t: DataFrame) -> tuple:
         return tuple(t.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
 
     now = stored(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct(), label)
+    if now.count() <= AT_ONCE:
+        out = stored(now.repartition(1).mapInArrow(joined, "node long, root long"), label)
+        forget(now)
+        return out
     seen = digest(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))

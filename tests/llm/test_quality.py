@@ -23,6 +23,18 @@ def test_held_out_accuracy(labelled):
     assert all(r.score == "x" for r in rows)
 
 
+def test_the_driver_fits_nothing(labelled, monkeypatch):
+    """Its memory is the scarcest: the sample's features and the matrices of the fit stay on the executors, whose workers are other processes."""
+
+    def refused(*_, **__):
+        raise AssertionError("in the driver")
+
+    monkeypatch.setattr(np.linalg, "eigh", refused)
+    monkeypatch.setattr("pyspark.sql.DataFrame.toPandas", refused)
+    voter = quality.fit(*labelled)
+    assert len(voter.labels) == len(voter.vectors) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(300))
+
+
 def test_held_out_labels_are_not_learnt(labelled):
     docs, labels = labelled
     from marlstone.llm.common import held_out

@@ -82,6 +82,32 @@ def test_components_of_long_chains(spark):
     assert {r.node: r.root for r in S.components(edges).collect()} == {i: 0 for i in range(1, 61)} | {101: 100, 200: 100}
 
 
+@pytest.mark.parametrize("at_once", [1_000_000, 0])
+def test_components_at_once_and_in_rounds(spark, monkeypatch, at_once):
+    monkeypatch.setattr(S, "AT_ONCE", at_once)
+    pick = random.Random(31)
+    edges = [(pick.randrange(-300, 300), pick.randrange(-300, 300)) for _ in range(250)] + [(5000, 5000), (2**62, -(2**62)), (7, 8), (8, 7), (7, 8)]
+    edges += [(1000 + 7 * i % 100, 1000 + 7 * (i + 1) % 100) for i in range(80)]
+    root = {x: x for e in edges for x in e}
+    while changed := [(a, b) for a, b in edges if root[a] != root[b]]:
+        for a, b in changed:
+            root[a] = root[b] = min(root[a], root[b])
+    got = S.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted((r.node, r.root) for r in got) == sorted((x, r) for x, r in root.items() if x != r)
+    assert S.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_few_jobs_for_few_links(spark):
+    """Each job leaves something in the driver's memory; a chain this long takes many rounds."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    spark.sparkContext.setJobGroup("links", "links")
+    try:
+        assert S.components(edges).count() == 200
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("links")) <= 12
+
+
 def test_very_long_texts(documents):
     pick = random.Random(12)
     long = " ".join(f"w{pick.randrange(10**5)}" for _ in range(3_000_000))  # some 20 million characters
